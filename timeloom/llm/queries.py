@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, pieces, quality, secrets, token_counts, warc
+from . import html_text, minhash, mixing, pieces, quality, secrets, token_counts, warc
 from .common import shared_path, table
 
 #: Tokens beyond this are over the limit of a training sequence.
@@ -47,6 +47,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("ids", "ids_sha256")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_minhash": op9_minhash,
     "op10_secrets": op10_secrets,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, minhash, mixing, pieces, quality, secrets, token_counts, warc
+from . import covertree, html_text, minhash, mixing, pieces, quality, rptree, secrets, token_counts, warc
 from .common import shared_path, table
 
 #: Tokens beyond this are over the limit of a training sequence.
@@ -25,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_rptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rptree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -57,9 +65,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_cover_tree": op2_cover_tree,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_html_text": op5_html_text,
+    "op6_rptree": op6_rptree,
     "op7_quality": op7_quality,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash": op9_minhash,
@@ -67,6 +77,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_cover_tree": """
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_rptree": """
+        WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+              AND list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.95),
+        reach AS (SELECT DISTINCT vec_id AS a, vec_id AS b FROM embeddings
+                  UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+        c AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+        SELECT c.a AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.low AS component_id, c.a = c.low AS kept
+        FROM c LEFT JOIN n ON n.a = c.a""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM p),

@@ -1,8 +1,7 @@
 """Registered queries of the timeline operators and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import timeline_queries
+from .timeline_queries import flagship  # noqa: F401
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = dict(timeline_queries.QUERIES)
+ORACLE_SQL = dict(timeline_queries.ORACLE_SQL)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, text_or_empty
+from .common import components, materialise, text_or_empty
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -34,6 +34,9 @@ BATCH = 25
 #: this probability, given the hashes seen.
 MISS = 1e-6
 BLOCK = 512
+#: An open bucket of so few members is expanded at once; in larger ones, of each
+#: two components so many pairs are passed on at first.
+SMALL, MOST = 16, 64
 PIECE = 1 << 22
 
 _RNG = np.random.default_rng(1905)
@@ -174,7 +177,7 @@ def _block_pairs(bounds: list[int], most: int):
     """For the members of one block pair of a bucket: of each two components, the
     ``most`` pairs whose signatures agree best, of those that stay."""
 
-    none = pd.DataFrame({"a": [], "b": [], "cut": []}).astype({"a": "int64", "b": "int64", "cut": "bool"})
+    none = pd.DataFrame({"a": [], "b": [], "band": [], "cut": []}).astype({"a": "int64", "b": "int64", "band": "int64", "cut": "bool"})
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (rows[rows.side == k] for k in (0, 1))
@@ -199,7 +202,7 @@ def _block_pairs(bounds: list[int], most: int):
         p = pd.concat(out).sort_values("agree", ascending=False, kind="stable")
         nth = p.groupby(["ca", "cb"]).cumcount()
         cut = bool((nth >= most).any())
-        return p[nth < most][["a", "b"]].assign(cut=cut)
+        return p[nth < most][["a", "b"]].assign(band=rows.band.iloc[0], cut=cut)
 
     return work
 
@@ -257,14 +260,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     tested = materialise(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialise(verify(tested), "links")
-    most = 4
+    comps = components(links)
+    scope, most = members.filter("n > 2").select("band", "id"), MOST
     while True:
-        comps = components(links)
-        open_members = (
-            members.filter("n > 2")
-            .join(comps, members.id == comps.node, "left")
-            .select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
-        )
+        open_members = scope.join(comps, scope.id == comps.node, "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
         # the largest component of a bucket meets the other members alone, not itself
         open_bands = (
             open_members.groupBy("band", "comp")
@@ -272,11 +271,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             .groupBy("band")
             .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
             .filter("n > top.c")
-            .select("band", F.col("top.comp").alias("main"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("nm"), F.expr(f"cast(ceil((n - top.c) / {BLOCK}) as int)").alias("ns"))
+        )
+        still = materialise(open_members.join(open_bands, "band"), "open")
+        few = (
+            still.filter(F.col("n") <= SMALL)
+            .groupBy("band")
+            .agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+            .select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id and y.comp <> x.comp), y -> struct(x.id as a, y.id as b))))")).alias("p"))
+            .select("p.a", "p.b")
         )
         dealt = (
-            open_members.drop("n")
-            .join(open_bands, "band")
+            still.filter(F.col("n") > SMALL)
+            .select("band", "id", "comp", F.col("top.comp").alias("main"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("nm"), F.expr(f"cast(ceil((n - top.c) / {BLOCK}) as int)").alias("ns"))
             .join(marks, "id")
             .withColumn("j", F.expr("cast(pmod(xxhash64(id), if(comp = main, nm, ns)) as int)"))
             .withColumn(
@@ -292,19 +298,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             )
             .select("band", "id", "comp", "signature", "to.kind", "to.p", "to.q", "to.side", F.expr("to.kind = 1 and to.p = to.q").alias("same"))
         )
-        found = materialise(dealt.groupBy("band", "kind", "p", "q").applyInPandas(_block_pairs(bounds, most), "a long, b long, cut boolean"), "found")
-        cut = found.filter("cut").limit(1).count() > 0
-        new = materialise(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        n_new = new.count()
-        if n_new:
-            more = materialise(verify(new), "links")
-            if more.limit(1).count():
-                links = materialise(links.union(more), "links")
-            elif not cut:
-                break
-            tested = materialise(tested.union(new), "tested")
-        elif not cut:
-            break
+        found = materialise(dealt.groupBy("band", "kind", "p", "q").applyInPandas(_block_pairs(bounds, most), "a long, b long, band long, cut boolean"), "found")
+        new = materialise(few.union(found.select("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(new)))
+        cut = found.filter("cut").select("band").distinct()
+        if not cut.limit(1).count():
+            break  # each pair of two components has been tested
+        scope = materialise(scope.join(cut, "band", "left_semi"), "scope")
+        tested = materialise(tested.union(new), "tested")
         most *= 8
     ids = classes.select("digest", "id").join(comps, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")

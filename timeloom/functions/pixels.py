@@ -217,7 +217,7 @@ def hash_score(d: Column) -> Column:
 def bits(flags: Column) -> Column:
     """An array of up to 64 booleans as a number, the first in the lowest bit."""
     return F.aggregate(
-        F.transform(flags, lambda f, i: F.when(f, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.transform(flags, lambda f, i: F.when(f, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x),
     )
 

@@ -77,7 +77,7 @@ def lru_hits(log: DataFrame, budget: int) -> DataFrame:
     # of the keys touched in (prev, seq), each counts at its last access before seq
     a = x.filter(F.col("prev").isNotNull() & (F.col("size") <= budget)).select("cache", F.col("seq").alias("at"), "prev", F.col("size").alias("own"))
     b = x.filter(F.col("size") <= budget).select("cache", "seq", "size", F.coalesce("next", F.lit(2**62)).alias("next"))
-    held = a.join(b, (a.cache == b.cache) & (b.seq > a.prev) & (b.seq < a.at) & (b.next >= a.at)).groupBy(a.cache, "at").agg(F.sum("size").alias("held"))
+    held = a.join(b, (a["cache"] == b["cache"]) & (b["seq"] > a["prev"]) & (b["seq"] < a["at"]) & (b["next"] >= a["at"])).groupBy(a["cache"], "at").agg(F.sum("size").alias("held"))
     j = x.join(held.withColumnRenamed("at", "seq"), ["cache", "seq"], "left")
     hit = F.col("prev").isNotNull() & (F.coalesce("held", F.lit(0)) + F.col("size") <= budget)
     return j.select("cache", "seq", "key", "size", F.coalesce(hit, F.lit(False)).alias("hit"))

@@ -1,7 +1,7 @@
 """Registered queries of the timeline operators and their SQL counterparts."""
 
-from . import timeline_queries
+from . import other_queries, timeline_queries
 from .timeline_queries import flagship  # noqa: F401
 
-QUERIES = dict(timeline_queries.QUERIES)
-ORACLE_SQL = dict(timeline_queries.ORACLE_SQL)
+QUERIES = timeline_queries.QUERIES | other_queries.QUERIES
+ORACLE_SQL = timeline_queries.ORACLE_SQL | other_queries.ORACLE_SQL

@@ -21,6 +21,9 @@ TERMS = SHAPES + WORDS
 DIMENSIONS = 48
 NEIGHBOURS = 25
 SHARPNESS = 12.0
+#: So many words without repeats are added to a text for the share of repeats, so
+#: that one doubled word doesn't fill a short text's vector.
+REPEAT_PRIOR = 16
 BLOCK = 256
 #: A text is turned into terms in pieces of so many bytes, so memory is bounded.
 PIECE = 1 << 22
@@ -96,7 +99,7 @@ def term_vector(text: str) -> np.ndarray:
         out[:SHAPES] = np.sqrt(n[:SHAPES] / shapes)
     if words:
         out[SHAPES : TERMS - 1] = 0.5 * np.sqrt(n[SHAPES : TERMS - 1] / words)
-        out[TERMS - 1] = np.sqrt(n[TERMS - 1] / words)
+        out[TERMS - 1] = np.sqrt(n[TERMS - 1] / (words + REPEAT_PRIOR))
     return out
 
 

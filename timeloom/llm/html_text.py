@@ -26,12 +26,16 @@ FURNITURE = frozenset("nav header footer aside form menu dialog button select fi
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that name page furniture.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side|widget|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|social|share|"
+    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|"
+    r"breadcrumbs?|sidebar|widget|cookies?(?:bar|banner|notice|consent)?|consent|notice|popup|modal|newsletter|subscribe|signup|login|social|share|"
     r"sharing|related|recommended|comments?|commentlist|respond|replies|disqus|footer|header|masthead|toolbar|pagination|"
-    r"pager|contentinfo|complementary|search|skip|tags?|byline)(?:$|[\s_-]|\d)",
+    r"pager|contentinfo|complementary|search|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Of these, those that an element inside the article has for its own headline.
+HEADLINE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-]|\d)", re.I)
+#: Words of class and id attributes of article elements that aren't the article.
+OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|related|recommended|teaser)(?:$|[\s_-]|\d)", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -43,16 +47,17 @@ SPACE = re.compile(r"\s+")
 _SCOPES = frozenset("div section article aside nav header footer main ul ol table form menu body html fieldset dialog select li td tr button".split())
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
+def _is_furniture(name: str, attributes: str, article: bool) -> bool:
+    if name in FURNITURE and not (article and name == "header"):
         return True
-    if not attributes or name in ("body", "html", "main", "article"):
+    if not attributes or name in ("body", "html", "main"):
         return False
+    words = OTHER_ARTICLE if name == "article" else HINT
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id", "role") and value and HINT.search(value):
+        if key in ("class", "id", "role") and value and words.search(HEADLINE.sub("", value) if article else value):
             return True
     return False
 
@@ -136,9 +141,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             in_link = 1
         if name in BLOCKS:
             flush()
-        f, a = _is_furniture(name, m[3]), name in ("article", "main")
-        if f and name == "header" and article:
-            f = _is_furniture("div", m[3])  # an article's own headline, not the page's header
+        f, a = _is_furniture(name, m[3], article > 0), name in ("article", "main")
         if name in _SCOPES or f or a:
             stack.append((name, f, a))
             furniture += f

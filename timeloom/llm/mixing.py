@@ -14,6 +14,7 @@ from .common import text_or_empty
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK_TOKENS = 1 << 16
 STEPS = 60
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -118,8 +119,9 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repetition:
         for s, n in sizes.items()
     ]
     plan_df = spark.createDataFrame(plan, "__src string, whole long, rest long, blocks long")
-    # one row per source: as bounded as the driver's own list
-    dealt = rows.join(F.broadcast(plan_df), "__src").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
+    # sent to all tasks only while the sources are few; otherwise a shuffled join
+    small = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_SOURCES else (lambda df: df)
+    dealt = rows.join(small(plan_df), "__src").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
     per_block = dealt.groupBy("__src", "block").agg(F.sum("__tok").alias("t"), F.first("rest").alias("rest"))
     by_source = Window.partitionBy("__src").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, 0)
     marks = per_block.withColumn("upto", F.sum("t").over(by_source)).select(
@@ -128,7 +130,7 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     border = marks.filter(~F.col("inside") & (F.col("left") > 0)).select("__src", "block", "left")
     in_block = Window.partitionBy("__src", "block").orderBy(F.xxhash64("key", F.lit(seed + 2)), "key", "__tok").rowsBetween(Window.unboundedPreceding, 0)
     chosen = (
-        dealt.join(F.broadcast(border), ["__src", "block"])  # one block per source at most
+        dealt.join(small(border), ["__src", "block"])  # one block per source at most
         .withColumn("run", F.sum("__tok").over(in_block))
         .filter("run <= left and __tok > 0")
         .groupBy("key", "__src", "__tok")

@@ -113,7 +113,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _place(forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each vector and leaf, with all leaves of the vector."""
-    trees, spill, first, dims = forest.value
+    trees, spill, first, lone = forest.value
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
@@ -125,7 +125,7 @@ def _place(forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for d, ks in by.items():
                 if d not in trees:
                     for k in ks:
-                        lists[k].append(dims[d])
+                        lists[k].append(lone + d)
                     continue
                 x = _unit(np.frombuffer(b"".join(raw[k] for k in ks), np.float64).reshape(len(ks), d))
                 for tree, base in zip(trees[d], first[d]):
@@ -225,7 +225,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES
     # bounded by SAMPLE, whatever the size of the table
     picked = [r["v"] for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     total = nodes.count()
-    forests, first, spills, lone, at = {}, {}, {}, {}, 0
+    forests, first, spills, at = {}, {}, {}, 0
     by: dict[int, list[bytes]] = {}
     for r in picked:
         by.setdefault(len(r) // 8, []).append(r)
@@ -239,12 +239,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES
             forests[d].append(tree)
             first[d].append(at)
             at += tree.leaves
-    # a length that the sample hasn't is one leaf of its own, dealt into blocks like any
-    for r in nodes.select(F.length("v").alias("n")).distinct().limit(4096).collect():
-        if r["n"] // 8 not in forests:
-            lone[r["n"] // 8] = at
-            at += 1
-    sent = spark.sparkContext.broadcast((forests, spills, first, lone))
+    # vectors of a length that the sample hasn't are a leaf of their own, dealt into blocks like any
+    sent = spark.sparkContext.broadcast((forests, spills, first, at))
     placed = materialise(
         nodes.mapInArrow(lambda it, f=sent: _place(f, it), "leaf int, id long, copies long, v binary, leaves array<int>"), "leaves"
     )

@@ -46,11 +46,11 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("words, small, block, most", [(2, 16, 512, 64), (5, 16, 512, 64), (2, 2, 8, 1)])
-def test_components_equal_brute_force(spark, monkeypatch, words, small, block, most):
+@pytest.mark.parametrize("words, small, block, checked", [(2, 16, 512, 64), (5, 16, 512, 64), (2, 2, 8, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, words, small, block, checked):
     monkeypatch.setattr(mh, "SMALL", small)
     monkeypatch.setattr(mh, "BLOCK", block)
-    monkeypatch.setattr(mh, "MOST", most)
+    monkeypatch.setattr(mh, "CHECKED", checked)
     rows = corpus()
     df = spark.createDataFrame([*rows, (None, "x y z")], "doc_id long, text string").selectExpr("*", "1 as id", "2 as component_id")
     got = mh.near_duplicates(df, shingle_words=words).collect()

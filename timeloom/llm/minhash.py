@@ -9,9 +9,9 @@ sets.
 
 No bucket is expanded into all its pairs.  First each member meets the smallest
 member of its bucket; the links found so far make components.  Only buckets
-that still hold several components are looked at again, in blocks of members,
-where signature matrices are compared and the most alike pairs of each two
-components are passed on, until nothing untested is left.
+that still hold several components are looked at again, in blocks of members:
+signature matrices are compared, and what survives is verified there and then,
+the most alike first, until two components are linked or no pair is left.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ BATCH = 25
 #: this probability, given the hashes seen.
 MISS = 1e-6
 BLOCK = 512
-#: An open bucket of so few members is expanded at once; in larger ones, of each
-#: two components so many pairs are passed on at first.
-SMALL, MOST = 16, 64
+#: An open bucket of so few members is expanded at once.
+SMALL = 16
+#: So many pairs of one member are checked exactly at a time.
+CHECKED = 64
 PIECE = 1 << 22
 
 _RNG = np.random.default_rng(1905)
@@ -173,11 +174,12 @@ def _prune(bounds: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             yield part.select(["a", "b"]).take(pa.array(keep))
 
 
-def _block_pairs(bounds: list[int], most: int):
-    """For the members of one block pair of a bucket: of each two components, the
-    ``most`` pairs whose signatures agree best, of those that stay."""
-
-    none = pd.DataFrame({"a": [], "b": [], "band": [], "cut": []}).astype({"a": "int64", "b": "int64", "band": "int64", "cut": "bool"})
+def _block_links(bounds: list[int], percent: int):
+    """Links between different components among the members of one block pair of a
+    bucket.  Signatures are compared first; of what stays, the most alike go first
+    into the exact check, and a component that is linked is one with the other
+    from then on, so that a link is passed on for each merger alone."""
+    none = pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (rows[rows.side == k] for k in (0, 1))
@@ -186,23 +188,33 @@ def _block_pairs(bounds: list[int], most: int):
             y = x
         if not len(x) or not len(y):
             return none
-        out = []
+        ix, iy, rx = x.id.to_numpy(), y.id.to_numpy(), x.comp.to_numpy().copy()
+        ry = rx if same else y.comp.to_numpy().copy()
         sx, sy = (np.frombuffer(b"".join(r.signature), np.uint32).reshape(-1, HASHES) for r in (x, y))
-        ix, iy, cx, cy = x.id.to_numpy(), y.id.to_numpy(), x.comp.to_numpy(), y.comp.to_numpy()
+        tx = [np.sort(v) for v in x.shingles]
+        ty = tx if same else [np.sort(v) for v in y.shingles]
+        out = []
         for k in range(len(ix)):
-            other = np.flatnonzero((cy != cx[k]) & ((iy > ix[k]) if same else True))
+            other = np.flatnonzero((ry != rx[k]) & ((iy > ix[k]) if same else True))
             if not len(other):
                 continue
             keep, agree = survivors(np.broadcast_to(sx[k], (len(other), HASHES)), sy[other], bounds)
-            if len(keep):
-                j = other[keep]
-                out.append(pd.DataFrame({"a": np.minimum(ix[k], iy[j]), "b": np.maximum(ix[k], iy[j]), "ca": np.minimum(cx[k], cy[j]), "cb": np.maximum(cx[k], cy[j]), "agree": agree}))
-        if not out:
-            return none
-        p = pd.concat(out).sort_values("agree", ascending=False, kind="stable")
-        nth = p.groupby(["ca", "cb"]).cumcount()
-        cut = bool((nth >= most).any())
-        return p[nth < most][["a", "b"]].assign(band=rows.band.iloc[0], cut=cut)
+            left = other[keep[np.argsort(-agree, kind="stable")]]
+            while len(left):
+                now = left[:CHECKED]
+                sizes = np.array([len(ty[j]) for j in now])
+                joined = np.concatenate([ty[j] for j in now])
+                at = np.minimum(np.searchsorted(tx[k], joined), len(tx[k]) - 1)
+                common = np.add.reduceat((tx[k][at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                for j in now[100 * common >= percent * (len(tx[k]) + sizes - common)]:
+                    if ry[j] != rx[k]:
+                        out.append((min(ix[k], iy[j]), max(ix[k], iy[j])))
+                        old, new = ry[j], rx[k]
+                        rx[rx == old] = new
+                        ry[ry == old] = new
+                left = left[CHECKED:]
+                left = left[ry[left] != rx[k]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
 
     return work
 
@@ -261,52 +273,47 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     tested = materialise(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialise(verify(tested), "links")
     comps = components(links)
-    scope, most = members.filter("n > 2").select("band", "id"), MOST
-    while True:
-        open_members = scope.join(comps, scope.id == comps.node, "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-        # the largest component of a bucket meets the other members alone, not itself
-        open_bands = (
-            open_members.groupBy("band", "comp")
-            .agg(F.count("*").alias("c"))
-            .groupBy("band")
-            .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
-            .filter("n > top.c")
-        )
-        still = materialise(open_members.join(open_bands, "band"), "open")
-        few = (
-            still.filter(F.col("n") <= SMALL)
-            .groupBy("band")
-            .agg(F.collect_list(F.struct("id", "comp")).alias("m"))
-            .select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id and y.comp <> x.comp), y -> struct(x.id as a, y.id as b))))")).alias("p"))
-            .select("p.a", "p.b")
-        )
-        dealt = (
-            still.filter(F.col("n") > SMALL)
-            .select("band", "id", "comp", F.col("top.comp").alias("main"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("nm"), F.expr(f"cast(ceil((n - top.c) / {BLOCK}) as int)").alias("ns"))
-            .join(marks, "id")
-            .withColumn("j", F.expr("cast(pmod(xxhash64(id), if(comp = main, nm, ns)) as int)"))
-            .withColumn(
-                "to",
-                F.explode(
-                    F.expr(
-                        """if(comp = main,
-                        transform(sequence(0, ns - 1), k -> struct(0 as kind, j as p, k as q, 0 as side)),
-                        concat(transform(sequence(0, nm - 1), k -> struct(0 as kind, k as p, j as q, 1 as side)),
-                               transform(sequence(0, ns - 1), k -> struct(1 as kind, least(j, k) as p, greatest(j, k) as q, if(j > k, 1, 0) as side))))"""
-                    )
-                ),
-            )
-            .select("band", "id", "comp", "signature", "to.kind", "to.p", "to.q", "to.side", F.expr("to.kind = 1 and to.p = to.q").alias("same"))
+    open_members = members.filter("n > 2").join(comps, members.id == comps.node, "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    # the largest component of a bucket meets the other members alone, not itself
+    open_bands = (
+        open_members.groupBy("band", "comp")
+        .agg(F.count("*").alias("c"))
+        .groupBy("band")
+        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
+        .filter("n > top.c")
+    )
+    still = materialise(open_members.join(open_bands, "band"), "open")
+    few = (
+        still.filter(F.col("n") <= SMALL)
+        .groupBy("band")
+        .agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+        .select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id and y.comp <> x.comp), y -> struct(x.id as a, y.id as b))))")).alias("p"))
+        .select("p.a", "p.b")
+        .distinct()
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    dealt = (
+        still.filter(F.col("n") > SMALL)
+        .select("band", "id", "comp", F.col("top.comp").alias("main"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("nm"), F.expr(f"cast(ceil((n - top.c) / {BLOCK}) as int)").alias("ns"))
+        .join(marks, "id")
+        .join(sets.dropDuplicates(["id"]), "id")
+        .withColumn("j", F.expr("cast(pmod(xxhash64(id), if(comp = main, nm, ns)) as int)"))
+        .withColumn(
+            "to",
+            F.explode(
+                F.expr(
+                    """if(comp = main,
+                    transform(sequence(0, ns - 1), k -> struct(0 as kind, j as p, k as q, 0 as side)),
+                    concat(transform(sequence(0, nm - 1), k -> struct(0 as kind, k as p, j as q, 1 as side)),
+                           transform(sequence(0, ns - 1), k -> struct(1 as kind, least(j, k) as p, greatest(j, k) as q, if(j > k, 1, 0) as side))))"""
+                )
+            ),
         )
-        found = materialise(dealt.groupBy("band", "kind", "p", "q").applyInPandas(_block_pairs(bounds, most), "a long, b long, band long, cut boolean"), "found")
-        new = materialise(few.union(found.select("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(new)))
-        cut = found.filter("cut").select("band").distinct()
-        if not cut.limit(1).count():
-            break  # each pair of two components has been tested
-        scope = materialise(scope.join(cut, "band", "left_semi"), "scope")
-        tested = materialise(tested.union(new), "tested")
-        most *= 8
+        .select("band", "id", "comp", "signature", "shingles", "to.kind", "to.p", "to.q", "to.side", F.expr("to.kind = 1 and to.p = to.q").alias("same"))
+    )
+    found = dealt.groupBy("band", "kind", "p", "q").applyInPandas(_block_links(bounds, percent), "a long, b long")
+    # each pair of members of different components has been looked at now
+    comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(few)).union(found))
     ids = classes.select("digest", "id").join(comps, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -19,7 +19,10 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 def events(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     # wall-clock microseconds of a timestamp without time zone, whatever the session's zone is
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    us = F.expr(
+        "cast(unix_date(cast(ts as date)) as bigint) * 86400000000 + (hour(ts) * 3600L + minute(ts) * 60L) * 1000000L"
+        " + cast(extract(second from ts) * 1000000 as bigint)"
+    )
     return e.select("event_id", "user_id", "event_type", "value", us.cast("long").alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

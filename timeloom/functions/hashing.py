@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+# Fixed value.
 #: Tags of this prefix come from samples of a source, not from all of it.
 SAMPLED_TAG = "blake3-sample-v1:"
 

@@ -13,11 +13,15 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The scale of scores, the side of descriptors, the weights of red,
+# green and blue in 256ths.
 SCALE = 10000
 SIDE = 16
+LUMA = (77, 150, 29)
 ONE = 1 << 16
 #: How far the crop search goes in from each edge, in cells: fixed values.
 INSETS = (0, ONE // 2, ONE * 3 // 4, ONE)
+# Bands of a hash, and how far a mean colour is shifted for its bucket.
 BANDS = 4
 BUCKET_SHIFT = 3
 
@@ -34,12 +38,12 @@ def picture(pixels: bytes, width: int, height: int, stride: int) -> np.ndarray:
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
-    w = np.array([77, 150, 29], np.int64)
+    w = np.array(LUMA, np.int64)
     return (rgb[..., :3].astype(np.int64) @ w + 128) >> 8
 
 
 def luma_column(r: Column, g: Column, b: Column) -> Column:
-    return F.shiftright(r * 77 + g * 150 + b * 29 + 128, 8)
+    return F.shiftright(r * LUMA[0] + g * LUMA[1] + b * LUMA[2] + 128, 8)
 
 
 def basis_points(difference, channels):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: how far a decoder goes on before it is opened anew.
 REUSE_FRAMES = 48
 # Cadences in ms and velocities in frames a second.
 SLOWEST_MS, FAST_MS, MEDIUM_MS, FAST_FPS, MEDIUM_FPS = 320, 90, 180, 60.0, 20.0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 
+# The least score and the most frames of a report.
 MINIMUM, CAP = 9300, 64
 KEYS_PER_FRAME = 2 * px.BANDS + 1
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "source_key"
+# Frames that a resumed run reads again.
 OVERLAP_LEAST, OVERLAP_MOST = 32, 4096
 
 

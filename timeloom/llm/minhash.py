@@ -36,6 +36,8 @@ MISS = 1e-6
 BLOCK = 512
 #: An open bucket of so few members is expanded at once.
 SMALL = 16
+#: Ids are broadcast while they are no more than these.
+BROADCAST_IDS = 500_000
 #: So many pairs of one member are checked exactly at a time.
 CHECKED = 64
 PIECE = 1 << 22
@@ -249,14 +251,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # buckets with the same members are one
     full = full.groupBy("n", "pivot", "last", "mark").agg(F.min("band").alias("band"))
     members = materialise(bands.join(full.select("band", "n", "pivot"), "band"), "members")
-    wanted = members.select("id").distinct()
+    wanted = materialise(members.select("id").distinct(), "wanted")
+    # the texts of candidates are needed again: while the ids are few they go to all
+    # tasks and no text moves; beyond that both sides are shuffled by id
+    among = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = materialise(
-        rows.join(wanted, rows.doc_id == wanted.id, "left_semi")
+        rows.join(among, rows.doc_id == among.id, "left_semi")
         .select(F.col("doc_id").alias("id"), "text")
         .mapInArrow(lambda it, w=shingle_words: _sets(w, it), "id long, shingles array<long>"),
         "sets",
     )
-    marks = materialise(classes.select("id", "signature").join(wanted, "id", "left_semi"), "marks")
+    marks = materialise(classes.select("id", "signature").join(among, "id", "left_semi"), "marks")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked."""

@@ -32,7 +32,7 @@ MARK = "▁"
 #: for signs that the vocabulary lacks and for nothing else.
 BYTE_PENALTY = 10.0
 #: Parts of texts whose segmentation a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
 
 
@@ -189,7 +189,7 @@ class PieceModel:
         out.sort(key=lambda x: (-x[0], x[1]))
         return out[:n]
 
-    def leads(self, parts: list[str], block: int = 20_000) -> None:
+    def leads(self, parts: list[str], cells: int = 2_000_000) -> None:
         """Remember the leads of many parts: the forward and backward Viterbi
         passes of all parts of one length at once.  The second best path is the
         best one through an edge that the best path hasn't."""
@@ -197,6 +197,8 @@ class PieceModel:
         for p in parts:
             by.setdefault(len(p), []).append(p)
         for n, group in by.items():
+            # a cell for each part, start and length: so many at a time
+            block = max(64, cells // (n * min(n, self.table.longest)))
             for i in range(0, len(group), block):
                 self._leads(group[i : i + block], n)
 
@@ -373,7 +375,7 @@ def model_of(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def _prepared(m: PieceModel, column, chars: int = 1 << 22) -> Iterator[tuple[str, list[str]]]:
+def _prepared(m: PieceModel, column, chars: int = 1 << 20) -> Iterator[tuple[str, list[str]]]:
     """The texts with their parts, after the new short parts of a group of texts
     are remembered."""
     group, size, last = [], 0, len(column) - 1

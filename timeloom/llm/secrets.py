@@ -21,13 +21,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: A value that a credential word announces, whatever its alphabet.
 CONTEXT = re.compile(
     r"""(?i:(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?key)?|(?:access|auth|refresh|bearer)?[_-]?token|api[_-]?key|private[_-]?key|credentials?|bearer))"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=]|(?<=(?i:bearer))\x20)[\x20\t]*["']?([^\s"'<>,;]{8,200})""",
+    r"""["']?[\x20\t]*(?::=|=>|[:=]|(?<=(?i:bearer))\x20)[\x20\t]*["']?([^\s"'<>,;]{8,})""",
     re.A,
 )
 #: A text without any of these can't match; looking for them first is much cheaper.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "private", "credential", "bearer")
-LOGIN = re.compile(r"://[^\s/:@\"'<>]{1,100}:([^\s/@\"'<>]{4,200})@")
+LOGIN = re.compile(r"://[^\s/:@\"'<>]+:([^\s/@\"'<>]{4,})@")
 
 # Very common words and passwords, most common first.
 COMMON = (
@@ -133,6 +133,17 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _costs(value: str, least: float) -> bool:
+    """Whether the guess cost of ``value`` is ``least`` or more; the spans of a
+    long value are added until it is."""
+    cost = 0.0
+    for i in range(0, len(value), SPAN):
+        cost += guess_cost(value[i : i + SPAN])
+        if cost >= least:
+            return True
+    return cost >= least
+
+
 def is_guess(value: str, least: float = GUESS_LOG10) -> bool:
     """Whether a credential-context value is a secret: costly to guess, and of
     more kinds of characters than a word or a placeholder has."""
@@ -140,7 +151,7 @@ def is_guess(value: str, least: float = GUESS_LOG10) -> bool:
     if len(body) < 8 or body.startswith(("$", "{{", "%", "<")):
         return False
     kinds = sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body), any(not c.isalnum() for c in body)))
-    return kinds >= 2 and any(c.isdigit() for c in body) and guess_cost(body) >= least
+    return kinds >= 2 and any(c.isdigit() for c in body) and _costs(body, least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:

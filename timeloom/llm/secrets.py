@@ -167,7 +167,8 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def all_spans(text: str, least: float = GUESS_LOG10) -> list[tuple[int, int, str, int]]:
-    """The base spans, and ``guess`` spans of costly values that no base span holds."""
+    """The base spans, and ``guess`` spans of costly values that no single base span
+    holds whole; they may overlap base spans."""
     base = base_spans(text)
     more = []
     low = text.lower()
@@ -176,7 +177,7 @@ def all_spans(text: str, least: float = GUESS_LOG10) -> list[tuple[int, int, str
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if not any(s <= a and b <= e or a < e and s < b for s, e, _, _ in base) and is_guess(m[1], least):
+            if not any(s <= a and b <= e for s, e, _, _ in base) and is_guess(m[1], least):
                 more.append((a, b, "guess", a))
     return sorted({*base, *more}, key=lambda x: (x[0], KINDS.index(x[2]), x[1])) if more else base
 

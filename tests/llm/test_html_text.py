@@ -13,6 +13,7 @@ P = "A paragraph that is long enough to be the text of an article, with words an
     ("<article><p>a  \n b</p><!-- no --><form>f<input></form><div class=ad>ad</div><p>c</article>", "a b\nc"),
     (f"<div class=sidebar>{P}</div><div class='cookie-notice'>{P}</div><div id=content><p>{P}</p><p>Short.</p><p>{P}</p></div><div class=footer>{P}</div>", f"{P}\nShort.\n{P}"),
     ("<article class=post><div class='entry-header'><h1>Head</h1></div><div class='side-by-side'><p>x</p></div><article class='comment'><p>nice</p></article></article>", "Head\nx"),
+    ("<embed src=a><article><p>a</p><embed src='b'><p>b<EMBED src=c/>c</p></article>", "a\nbc"), (f"<p>{P}</p><embed src=a type='x/y'><p>{P}</p>", f"{P}\n{P}"),
     ("<nav>only menus</nav>", ""), ("<article><p>one<p>two<li>three</article>", "one\ntwo\nthree"),
 ])
 def test_pages(html, want):

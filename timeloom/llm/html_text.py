@@ -20,7 +20,7 @@ BLOCKS = frozenset(
     "p pre search section select summary table tbody td tfoot th thead tr ul title".split()
 )
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template textarea iframe object embed svg math canvas audio video noframes title xmp".split())
+RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video noframes title xmp".split())
 #: Elements that hold page furniture.
 FURNITURE = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

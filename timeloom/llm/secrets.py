@@ -40,6 +40,8 @@ COMMON = (
     "private temp demo null none true false value string placeholder redacted hidden"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+#: Letters of a word at most.
+LONGEST = 16
 # The rows of a US keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
@@ -53,6 +55,8 @@ NEAR = {
     for c, a in enumerate(row)
 }
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+#: Signs between words.
+SEPARATORS = "_-./:(),"
 #: Values that cost 10**GUESS_LOG10 guesses or more are reported.
 GUESS_LOG10 = 10.0
 #: A value longer than this is cut into spans of this length for the dynamic
@@ -60,6 +64,24 @@ GUESS_LOG10 = 10.0
 SPAN = 64
 
 
+@lru_cache(maxsize=1)
+def _ranks() -> dict[str, int]:
+    """Ranks of the common words, and behind them of the words of three letters
+    or more and the word parts of four or more of the vocabulary, which has
+    frequent ones first."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    out = dict(RANK)
+    for i in range(sp.get_piece_size()):
+        p = sp.id_to_piece(i)
+        w = p.lstrip("▁").lower()
+        if 3 + (w == p.lower()) <= len(w) <= LONGEST and w.isascii() and w.isalpha():
+            out.setdefault(w, len(out) + 1)
+    return out
+
+
 def _pool(s: str) -> int:
     n = 0
     n += 26 * any("a" <= c <= "z" for c in s)
@@ -73,14 +95,18 @@ def _edges(s: str):
     """(start, end, log10 of the guesses, kind) of every span that isn't brute force."""
     n, low = len(s), s.lower()
     plain = low.translate(LEET)
+    ranks = _ranks()
     for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
-            rank = RANK.get(low[i:j])
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank = ranks.get(low[i:j])
             odd = 0 if s[i:j] == low[i:j] else 1
-            if rank is None and (rank := RANK.get(plain[i:j])):
+            if rank is None and (rank := ranks.get(plain[i:j])):
                 odd += 1
             if rank:
                 yield i, j, math.log10(rank * 2**odd * (4 if odd else 1)), "word"
+    for i in range(n):
+        if s[i] in SEPARATORS:
+            yield i, i + 1, math.log10(len(SEPARATORS)), "separator"
     for m in (DATE.match(s, i) for i in range(n)):
         if m:
             yield m.start(), m.end(), math.log10(120 if m.end() - m.start() == 4 else 365 * 120 * 4), "date"
@@ -114,7 +140,7 @@ ROWS_AT = {a: r * 100 + c for r, row in enumerate(ROWS) for c, a in enumerate(ro
 @lru_cache(maxsize=4096)
 def guess_cost(value: str) -> float:
     """log10 of the guesses for ``value``: the cheapest way to cut it into
-    common words, dates, repeats, keyboard walks, runs and brute-force spans,
+    common words, separators, dates, repeats, keyboard walks, runs and brute-force spans,
     where each further span costs a factor of ten at least."""
     if len(value) > SPAN:
         return sum(guess_cost(value[i : i + SPAN]) for i in range(0, len(value), SPAN))
@@ -145,13 +171,12 @@ def _costs(value: str, least: float) -> bool:
 
 
 def is_guess(value: str, least: float = GUESS_LOG10) -> bool:
-    """Whether a credential-context value is a secret: costly to guess, and of
-    more kinds of characters than a word or a placeholder has."""
+    """Whether a credential-context value is a secret: costly to guess,
+    and no reference to a variable or a placeholder."""
     body = value.strip(".,:;!?)(]}[{")
     if len(body) < 8 or body.startswith(("$", "{{", "%", "<")):
         return False
-    kinds = sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body), any(not c.isalnum() for c in body)))
-    return kinds >= 2 and any(c.isdigit() for c in body) and _costs(body, least)
+    return _costs(body, least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:

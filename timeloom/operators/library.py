@@ -35,6 +35,23 @@ def ordered(records: DataFrame) -> DataFrame:
     return records.orderBy(recency().desc(), "id")
 
 
+def numbered(rows: DataFrame, keys: list[Column], name: str = "place", parts: int = 64, sampled: int = 4096) -> DataFrame:
+    """``rows`` with their places 1, 2, ... by ``keys``: bounds from a sample deal
+    them into ranges, each range is numbered alone and starts behind those before."""
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    x = rows.withColumn("__key", key)
+    kind = x.schema["__key"].dataType.simpleString()
+    found = sorted(tuple(r) for (r,) in x.select("__key").orderBy(F.xxhash64("__key")).limit(sampled).collect())
+    step = max(1, len(found) // parts)
+    bounds = [F.struct(*[F.lit(v) for v in b]).cast(kind) for b in found[step::step]]
+    at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("__key"))) if bounds else F.lit(0)
+    x = x.withColumn("__range", at)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    n = F.row_number().over(Window.partitionBy("__range").orderBy("__key")) + F.col("__start")
+    return x.join(F.broadcast(starts), "__range").withColumn(name, n.cast("long")).drop("__range", "__start", "__key")
+
+
 def normalise(records: DataFrame, position: str = "position", most: int = MOST_RECENT) -> DataFrame:
     """Records with a URI, the first of each id, the ``most`` latest."""
     w = Window.partitionBy("id").orderBy(position)

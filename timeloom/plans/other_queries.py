@@ -333,6 +333,11 @@ def t4(spark, d):
     return top.select("id", F.row_number().over(Window.orderBy(li.recency().desc(), "id")).cast("long").alias("place"))
 
 
+@query("t4_library_order_all")
+def t4_all(spark, d):
+    return li.numbered(j11(spark, d), [F.bitwise_not(li.recency()), F.col("id")]).select("id", "place")
+
+
 @query("t5_home", "SELECT id, opened_ms FROM library WHERE uri IS NOT NULL ORDER BY opened_ms DESC, id LIMIT 3", LIBRARY)
 def t5(spark, d):
     return li.home(br.library(spark, d)).select("id", "opened_ms")

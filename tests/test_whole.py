@@ -1,9 +1,12 @@
 """Queries over whole tables without SQL, against brute force at a size where the
 parts of them that have SQL are smaller."""
 
+import pytest
+
 from timeloom import plans
 from timeloom.operators import library as li
 from timeloom.plans import bridge as br
+from timeloom.plans import more_queries as mq
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,3 +26,37 @@ def test_numbering_of_ties_and_nothing(spark):
     df = spark.range(1000).selectExpr("id % 3 as a", "id as b")
     assert rows(li.numbered(df, [df.a, df.b], parts=7, sampled=50)) == [(a, b, k + 1) for k, (a, b) in enumerate(sorted((i % 3, i) for i in range(1000)))]
     assert li.numbered(df.limit(0), [df.a]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 9, 14, 700])
+def test_every_frame_is_a_partner(spark, monkeypatch, size):
+    ids = sorted(3 * k + 1 for k in range(size))
+    monkeypatch.setattr(br, "grid", lambda s, d: s.createDataFrame([(i, [0]) for i in ids], "frame_id long, v array<int>"))
+    got = rows(mq.all_pairs(spark, SF))
+    assert [a for a, _ in got] == ids and sorted(b for _, b in got) == ids
+
+
+def test_pair_queries_of_all(spark):
+    v = {r["frame_id"]: list(r["v"]) for r in br.grid(spark, "/root/testdata/sf0.1").collect()}
+    got = rows(plans.QUERIES["g11_rgb_similarity_all"](spark, "/root/testdata/sf0.1"))
+    want = {(a, b): 10000 - (3 * sum(abs(x - y) for x, y in zip(v[a], v[b])) * 10000 + 192 * 255 // 2) // (192 * 255) for a, b, _ in got}
+    assert len(v) > 500 and sorted(a for a, *_ in got) == sorted(b for _, b, _ in got) == sorted(v)
+    assert all(want[a, b] == s for a, b, s in got)
+    same = rows(plans.QUERIES["g22_exact_threshold_all"](spark, "/root/testdata/sf0.1"))
+    assert same == sorted((a, b, s == 10000) for a, b, s in got)
+    for name in ("g13_translation", "g14_crop_search"):
+        x = plans.QUERIES[name](spark, "/root/testdata/sf0.1").select("frame_id").collect()
+        assert sorted(r[0] for r in x) == sorted(v)
+
+
+def test_frames_of_all(spark):
+    frames = sorted((r["source_key"], r["frame_id"]) for r in br.frames(spark, SF).collect())
+    runs = plans.timeline_queries.runs(spark, SF).collect()
+    at = {(r["source_key"], f): r["ordinal"] for r in runs for f in range(r["first"], r["last"] + 1)}
+    assert rows(plans.QUERIES["j8_group_of_frame_all"](spark, SF)) == [(k, f, at.get((k, f))) for k, f in frames]
+    anchor = {(r["source_key"], r["frame_id"]): r["anchor_frame"] for r in plans.QUERIES["w3_anchors"](spark, SF).collect()}
+    assert rows(plans.QUERIES["j14_nearest_keyframe_all"](spark, SF)) == [(k, f, anchor[k, f] or 0) for k, f in frames]
+    st = {(r["source_key"], r["frame_id"]): (r["decode_from"], r["decoded"]) for r in plans.QUERIES["st12_seek_navigation_all"](spark, SF).collect()}
+    assert sorted(st) == frames and all(s in (0, anchor[x] or 0) and n == x[1] - s + 1 for x, (s, n) in st.items())
+    v = {r["frame_id"]: r["v"] for r in br.grid(spark, SF).collect()}
+    assert rows(plans.QUERIES["s4_materialise_all"](spark, SF)) == sorted((k, "".join(f"{x:02X}" * 3 + "FF" for x in w)) for k, w in v.items())

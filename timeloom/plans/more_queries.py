@@ -61,6 +61,11 @@ def s4(spark, d):
     return pi.tight(p).select("frame_id", F.hex("tight").alias("pixels"))
 
 
+@query("s4_materialise_all")
+def s4_all(spark, d):
+    return pi.tight(pictures(spark, d)).select("frame_id", F.hex("tight").alias("pixels"))
+
+
 @query("g2_buffer_check", "SELECT frame_id, frame_id % 4 < 2 AS valid FROM grid", GRID)
 def g2(spark, d):
     m = F.col("frame_id") % 4
@@ -98,14 +103,28 @@ def pairs(spark, d):
     return g.select(F.col("frame_id").alias("target"), ((F.col("frame_id") * 7 + 3) % 500).alias("frame_id"))
 
 
+def all_pairs(spark, d):
+    """Each frame with one partner, and each frame as the partner of one, by rank."""
+    g = br.grid(spark, d).select("frame_id")
+    n = g.count()
+    r = li.numbered(g, [F.col("frame_id")], "r").select("frame_id", F.col("r") - 1)
+    # a factor that divides n would leave frames without a turn
+    partner = (F.col("r") * (7 if n % 7 else 1) + 3) % max(n, 1)
+    return r.toDF("target", "r").select("target", partner.alias("r")).join(r.toDF("frame_id", "r"), "r").select("target", "frame_id")
+
+
 PAIRS = f"{GRID}, pairs AS (SELECT frame_id AS target, (frame_id * 7 + 3) % 500 AS frame_id FROM grid)"
 
 
 @query("g11_rgb_similarity", "SELECT p.target, p.frame_id, 10000 - (3 * list_sum(list_transform(range(1, 65), lambda i: abs(x.v[i] - y.v[i])))::BIGINT * 10000 + 192 * 255 // 2) // (192 * 255) AS similarity FROM pairs p JOIN grid x ON x.frame_id = p.target JOIN grid y ON y.frame_id = p.frame_id", PAIRS)
 def g11(spark, d):
+    return rgb_similarity(spark, d, pairs(spark, d))
+
+
+def rgb_similarity(spark, d, chosen):
     g = br.grid(spark, d)
     three = lambda c: F.concat(c, c, c)
-    j = pairs(spark, d).join(g, "frame_id").join(g.toDF("target", "w"), "target")
+    j = chosen.join(g, "frame_id").join(g.toDF("target", "w"), "target")
     return j.select("target", "frame_id", px.mean_absolute(three(F.col("v")), three(F.col("w")), 192).alias("similarity"))
 
 
@@ -114,19 +133,29 @@ def g22(spark, d):
     return g11(spark, d).select("target", "frame_id", (F.col("similarity") == 10000).alias("same"))
 
 
+@query("g11_rgb_similarity_all")
+def g11_all(spark, d):
+    return rgb_similarity(spark, d, all_pairs(spark, d))
+
+
+@query("g22_exact_threshold_all")
+def g22_all(spark, d):
+    return g11_all(spark, d).select("target", "frame_id", (F.col("similarity") == 10000).alias("same"))
+
+
 @query("g13_translation")
 def g13(spark, d):
-    return pi.pair_scores(pairs(spark, d), br.descriptors(spark, d), px.shifted, "similarity")
+    return pi.pair_scores(all_pairs(spark, d), br.descriptors(spark, d), px.shifted, "similarity")
 
 
 @query("g14_crop_search")
 def g14(spark, d):
-    return pi.pair_scores(pairs(spark, d), br.descriptors(spark, d), px.cropped, "similarity")
+    return pi.pair_scores(all_pairs(spark, d), br.descriptors(spark, d), px.cropped, "similarity")
 
 
 @query("g15_confirmation")
 def g15(spark, d):
-    return si.confirm(pairs(spark, d), br.descriptors(spark, d))
+    return si.confirm(all_pairs(spark, d), br.descriptors(spark, d))
 
 
 @query("g20_viewport", "SELECT p_partkey AS id, least(1.0, 1.0 / least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h)) AS minimum, least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h) AS fit FROM (SELECT p_partkey, p_size * 40 AS w, p_size * 25 AS h FROM part)")

@@ -109,8 +109,12 @@ def w3(spark, d):
 
 @query("j14_nearest_keyframe", "SELECT source_key, frame_id, coalesce(anchor_frame, 0) AS decode_from FROM anch WHERE frame_id % 5 = 4", FA)
 def j14(spark, d):
-    a = tl.anchors(br.frames(spark, d))
-    return a.filter("frame_id % 5 = 4").select("source_key", "frame_id", F.coalesce("anchor_frame", F.lit(0)).cast("long").alias("decode_from"))
+    return j14_all(spark, d).filter("frame_id % 5 = 4")
+
+
+@query("j14_nearest_keyframe_all")
+def j14_all(spark, d):
+    return tl.anchors(br.frames(spark, d)).select("source_key", "frame_id", F.coalesce("anchor_frame", F.lit(0)).cast("long").alias("decode_from"))
 
 
 @query("j6_anchor_check", """SELECT b.source_key, b.frame_id, b.anchor_frame FROM (SELECT source_key, frame_id, CASE WHEN frame_id % 7 = 5 THEN anchor_frame + 1 ELSE anchor_frame END AS anchor_frame, anchor_ticks FROM anch) b
@@ -230,8 +234,13 @@ def a11(spark, d):
 
 @query("st12_seek_navigation", "SELECT source_key, frame_id, CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END AS decode_from, frame_id - CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END + 1 AS decoded FROM anch JOIN safety USING (source_key) WHERE frame_id % 4 = 3", f"{FA}, {SAFETY}")
 def st12(spark, d):
+    return st12_all(spark, d).filter("frame_id % 4 = 3")
+
+
+@query("st12_seek_navigation_all")
+def st12_all(spark, d):
     f = br.frames(spark, d)
-    a = tl.anchors(f).join(tl.seek_safety(f), "source_key").filter("frame_id % 4 = 3")
+    a = tl.anchors(f).join(tl.seek_safety(f), "source_key")
     start = F.when(F.col("seek_safe") & F.col("anchor_frame").isNotNull(), F.col("anchor_frame")).otherwise(0)
     return a.select("source_key", "frame_id", start.alias("decode_from"), (F.col("frame_id") - start + 1).alias("decoded"))
 
@@ -377,6 +386,11 @@ def j8(spark, d):
     return gr.containing(runs(spark, d), br.frames(spark, d).filter("frame_id % 3 = 1").select("source_key", "frame_id"))
 
 
+@query("j8_group_of_frame_all")
+def j8_all(spark, d):
+    return gr.containing(runs(spark, d), br.frames(spark, d).select("source_key", "frame_id"))
+
+
 @query("j9_representatives", "SELECT f.source_key, f.frame_id, f.ticks FROM frames f WHERE EXISTS (SELECT 1 FROM groups g WHERE g.source_key = f.source_key AND g.first = f.frame_id)", f"{FRAMES}, {FOLD}", True)
 def j9(spark, d):
     return gr.representatives(br.frames(spark, d), groups(spark, d)).select("source_key", "frame_id", "ticks")

@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the best segmentation of each text, with those of the further ones' scores."""
+    """Ids and scores of the four best segmentations of each text."""
     return pieces.segment(docs, vocabulary(), n=4)
 
 

@@ -1,3 +1,7 @@
+import hashlib
+from array import array
+
+import pyarrow as pa
 import pytest
 
 from timeloom.llm import pieces
@@ -63,3 +67,32 @@ def test_table(spark):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(enc, vocabulary()).collect()}
     assert back[2] == "Hello world" and back[1] == "" and back[3] == "a b" and back[4] == "long " * 50_000
     assert pieces.segment(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_segments_are_the_n_best(spark, model):
+    texts = ["", "a", "the cat", "né 漢🙂", "it's, (ok).", "aaaaaaa", "Hello world. " * 40, "a▁b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pieces.segment(docs, vocabulary(), n=4).collect()}
+    digests = {r["doc_id"]: r for r in pieces.segment(docs, vocabulary(), n=4, with_ids=False).collect()}
+    for k, text in enumerate(texts):
+        r, lists = got[k], [got[k]["ids"], *got[k]["more_ids"]]
+        assert len(lists) == len(r["scores"]) == len(set(map(tuple, lists)))
+        assert r["scores"] == pytest.approx([s for s, _ in model.nbest(text, 4)])
+        if len(text) < 12:
+            by_ids = {ids: s for s, ids in every_path(model, model.normalise(text))}
+            assert r["scores"] == pytest.approx([by_ids[tuple(x)] for x in lists])
+        assert r["round_trip"] == all(model.decode(x) == text for x in lists) == ("▁" not in text)
+        assert [digests[k]["ids"], *digests[k]["more_ids"]] == [hashlib.sha256(array("i", x).tobytes()).hexdigest() for x in lists]
+
+
+def test_round_trip_decodes(spark, monkeypatch, model):
+    monkeypatch.setattr(pieces, "model_of", lambda path: model)
+    monkeypatch.setattr(model, "decode_many", lambda lists: ["other"] * len(lists))
+    batch = pa.RecordBatch.from_pydict({"key": [1], "text": ["Hello world"]})
+    assert next(pieces._segment("", 4, True, iter([batch])))["round_trip"].to_pylist() == [False]
+
+
+def test_many_decoded_as_one(model):
+    b = model.byte_id
+    lists = [[], [b[0xC3], b[0xA9]], [b[0xC3], 500, b[0xA9]], [model.unknown, 600, b[10], *sorted(model.skip)], [b[0xE6], b[65], b[0xE6], b[0xBC]], list(range(len(model.pieces)))]
+    assert model.decode_many(pa.array(lists, pa.list_(pa.int32()))) == [model.decode(x) for x in lists]

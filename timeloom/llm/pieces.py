@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ BYTE_PENALTY = 10.0
 #: Parts of texts whose segmentation a worker remembers.
 REMEMBERED = 100_000
 REMEMBERED_LENGTH = 64
+#: Bytes of ids after which a worker hands its rows on.
+HANDED_ON = 1 << 23
 
 
 def _splitter(normal, lone: str) -> re.Pattern:
@@ -127,7 +130,9 @@ class PieceModel:
         lone = "".join(re.escape(c) for c in "\n\t\r\x0b\x0c" if c not in signs)
         self.split = _splitter(normal, lone)
         self.memory: dict[str, tuple] = {}
-        self.lists: dict[tuple[str, int], list[float]] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        #: What each piece adds to the UTF-8 text that decoding gives.
+        self.plain = pa.array([bytes([self.bytes_of[i]]) if i in self.bytes_of else (" ⁇ " if i == self.unknown else "" if i in self.skip else p).encode() for i, p in enumerate(self.pieces)], pa.binary())
         self.table = _Table(normal)
         self.trie: dict = {}
         for p, v in normal.items():
@@ -276,18 +281,19 @@ class PieceModel:
                 self.memory[part] = got
         return got
 
-    def encode(self, text: str, parts: list[str] | None = None) -> tuple[float, bytes, list[tuple[float, int, str]], bool]:
+    def encode(self, text: str, parts: list[str] | None = None) -> tuple[float, bytes, list[tuple[float, int, str, int]], bool]:
         """Best score and ids (as int32 bytes) of a text; for its parts that have
-        a second choice, the distance to it, the position and the part; whether
-        decoding gives the text back."""
-        total, ids, second, whole = 0.0, [], [], True
+        a second choice, the distance to it, the position, the part and where its
+        ids start; whether each part's pieces give it back."""
+        total, ids, second, whole, at = 0.0, [], [], True, 0
         memory, lead = self.memory, self.lead
         for k, part in enumerate(self.parts(text) if parts is None else parts):
             score, raw, _, gap, same = memory.get(part) or lead(part)
             total += score
             ids.append(raw)
             if gap is not None:
-                second.append((gap, k, part))
+                second.append((gap, k, part, at))
+            at += len(raw)
             whole = whole and same
         return total, b"".join(ids), second, whole
 
@@ -302,25 +308,40 @@ class PieceModel:
             out.append((base - cost, ids))
         return out
 
-    def nbest_scores(self, total: float, second: list[tuple[float, int, str]], n: int) -> list[float]:
-        """Scores of the ``n`` best segmentations, from what :meth:`encode` gives.
+    def nbest_paths(self, total: float, best: bytes, second: list[tuple[float, int, str, int]], n: int) -> list[tuple[float, bytes]]:
+        """Score and ids (as int32 bytes) of the ``n`` best segmentations, from
+        what :meth:`encode` gives.
 
         Only the n - 1 parts whose second choice is nearest can differ from the
         best in these: a path with another part's further choice has n - 1
         single changes and the best itself before it."""
         near = heapq.nsmallest(n - 1, second)
-        costs = []
-        for _, _, part in near:
+        lists = []
+        for _, _, part, _ in near:
             got = self.lists.get((part, n))
             if got is None:
-                found = self.search(part, n)
-                got = [found[0][0] - s for s, _ in found]
+                score, first, *_ = self.lead(part)
+                found = [(score - s, array("i", ids).tobytes()) for s, ids in self.search(part, n)]
+                # of equal ones the remembered one is the first
+                got = [(0.0, first), *[x for x in found if x[1] != first][: n - 1]]
                 if len(part) <= REMEMBERED_LENGTH:
                     if len(self.lists) >= REMEMBERED // 8:
                         self.lists.clear()
                     self.lists[part, n] = got
-            costs.append(got)
-        return [total - c for c, _ in _combine(costs, n)]
+            lists.append(got)
+        out = []
+        for cost, picks in _combine([[c for c, _ in x] for x in lists], n):
+            ids, at = [], 0
+            for k in sorted(picks, key=lambda k: near[k][3]):
+                start = near[k][3]
+                ids += [best[at:start], lists[k][picks[k]][1]]
+                at = start + len(lists[k][0][1])
+            out.append((total - cost, b"".join([*ids, best[at:]]) if ids else best))
+        return out
+
+    def nbest_scores(self, total: float, second: list[tuple[float, int, str, int]], n: int) -> list[float]:
+        """Scores of the ``n`` best segmentations."""
+        return [s for s, _ in self.nbest_paths(total, b"", second, n)]
 
     def _joined(self, ids) -> str:
         out, raw = [], bytearray()
@@ -341,6 +362,11 @@ class PieceModel:
         """The text of a list of ids."""
         return self._joined(ids).removeprefix(" ")
 
+    def decode_many(self, lists: pa.ListArray) -> list[str]:
+        """The texts of many lists of ids."""
+        signs = pa.ListArray.from_arrays(lists.offsets, self.plain.take(lists.values))
+        return [s.decode("utf-8", "replace").removeprefix(" ") for s in pc.binary_join(signs, b"").to_pylist()]
+
 
 def _combine(costs: list[list[float]], n: int) -> list[tuple[float, dict[int, int]]]:
     """The ``n`` cheapest ways to take one entry of each list (each sorted, its
@@ -394,34 +420,58 @@ def _prepared(m: PieceModel, column, chars: int = 1 << 20) -> Iterator[tuple[str
             group, size = [], 0
 
 
+def _lists(raws: list[bytes]) -> pa.ListArray:
+    """Lists of int32 from their bytes."""
+    ends = np.cumsum([0, *map(len, raws)]) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raws))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _rows(m: PieceModel, keys: pa.Array, texts: list[str], paths: list[list[tuple[float, bytes]]], with_ids: bool) -> pa.RecordBatch:
+    best, more = [p[0][1] for p in paths], [x for p in paths for _, x in p[1:]]
+    ids, others = _lists(best), _lists(more)
+    same = [a == s for a, s in zip(m.decode_many(ids), texts)]
+    again = iter(m.decode_many(others))
+    for k, p in enumerate(paths):
+        for _ in p[1:]:
+            same[k] = (next(again) == texts[k]) and same[k]
+    if not with_ids:
+        ids, others = (pa.array([hashlib.sha256(x).hexdigest() for x in col], pa.string()) for col in (best, more))
+    ends = np.cumsum([0, *(len(p) - 1 for p in paths)])
+    return pa.RecordBatch.from_arrays(
+        [
+            keys, pa.array([len(x) // 4 for x in best], pa.int64()), pa.array([p[0][0] for p in paths], pa.float64()),
+            pa.array([[x for x, _ in p] for p in paths], pa.list_(pa.float64())), ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others), pa.array(same, pa.bool_()),
+        ],
+        ["key", "n_pieces", "score", "scores", "ids", "more_ids", "round_trip"],
+    )
+
+
 def _segment(path: str, n: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = model_of(path)
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
+        paths, texts, held, at = [], [], 0, 0
         for s, parts in _prepared(m, batch.column("text")):
-            total, ids, second, whole = m.encode(s, parts)
-            cols[0].append(len(ids) // 4)
-            cols[1].append(total)
-            cols[2].append(m.nbest_scores(total, second, n))
-            cols[3].append(ids)
-            cols[4].append(whole and MARK not in s)
-        lists = (
-            pa.array([memoryview(x).cast("i").tolist() for x in cols[3]], pa.list_(pa.int32()))
-            if with_ids
-            else pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]])
-        )
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.float64())), lists, pa.array(cols[4], pa.bool_())],
-            ["key", "n_pieces", "score", "scores", "ids", "round_trip"],
-        )
+            total, ids, second, _ = m.encode(s, parts)
+            paths.append(m.nbest_paths(total, ids, second, n))
+            texts.append(s)
+            held += len(ids) * len(paths[-1])
+            if held >= HANDED_ON:
+                yield _rows(m, batch.column("key").slice(at, len(paths)), texts, paths, with_ids)
+                at += len(paths)
+                paths, texts, held = [], [], 0
+        if paths:
+            yield _rows(m, batch.column("key").slice(at), texts, paths, with_ids)
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``key``, ``n_pieces`` and ``score`` of the best
     segmentation, ``scores`` of the ``n`` best (fewer where the lattice has
-    fewer paths), ``ids`` of the best one (or, without ``with_ids``, their
-    SHA-256 as int32 little endian) and ``round_trip``, whether decoding gives
-    the text back (it can't where a text itself holds the word mark).
+    fewer paths), ``ids`` of the best one, ``more_ids`` of the second and
+    further ones in the order of their scores (or, without ``with_ids``, the
+    SHA-256 of each list as int32 little endian) and ``round_trip``, whether
+    each list, decoded, equals the text (it can't where a text itself holds the
+    word mark).
 
     A null or empty text has no pieces, score 0 and the one score 0; repeated
     rows stay repeated, a null key stays null.  Whole texts, no shuffle; a
@@ -432,7 +482,7 @@ def segment(docs: DataFrame, model_path: str, n: int = 4, with_ids: bool = True,
         docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
         .mapInArrow(
             lambda it, p=model_path, n=n, w=with_ids: _segment(p, n, w, it),
-            f"key long, n_pieces long, score double, scores array<double>, ids {out}, round_trip boolean",
+            f"key long, n_pieces long, score double, scores array<double>, ids {out}, more_ids array<{out}>, round_trip boolean",
         )
         .withColumnRenamed("key", key)
     )

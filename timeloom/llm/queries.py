@@ -51,8 +51,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.segment(table(spark, sf_dir, "documents"), vocabulary(), n=4, with_ids=False)
-    return out.withColumnRenamed("ids", "ids_sha256")
+    return pieces.segment(table(spark, sf_dir, "documents"), vocabulary(), n=4)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,13 @@ def test_pieces_of_long_texts(monkeypatch):
 
 def test_empty(spark):
     assert mh.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_the_filter_misses_no_id(spark, monkeypatch, bits):
+    monkeypatch.setattr(mh, "FILTER_BITS", bits)
+    rows = spark.range(3000).selectExpr("id as doc_id", "'x' as text")
+    ids = spark.range(0, 3000, 7)
+    got = {r["doc_id"] for r in mh.perhaps_in(rows, "doc_id", mh.filter_of(ids)).collect()}
+    assert got >= set(range(0, 3000, 7)) and (bits == 8 or len(got) == 429)
+    assert mh.perhaps_in(rows, "doc_id", mh.filter_of(ids.limit(0))).count() == 0

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, text_or_empty
+from .common import components, discard, materialise, text_or_empty
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -36,8 +36,11 @@ MISS = 1e-6
 BLOCK = 512
 #: An open bucket of so few members is expanded at once.
 SMALL = 16
-#: Ids are broadcast while they are no more than these.
-BROADCAST_IDS = 500_000
+#: Bits of the filter that keeps the texts of other ids than the candidates' from
+#: being shuffled: 8 MB, whatever the number of ids.  Where the filter is full,
+#: more texts are shuffled; the join after it is exact.
+FILTER_BITS = 1 << 26
+_PAGE = 1 << 15
 #: So many pairs of one member are checked exactly at a time.
 CHECKED = 64
 PIECE = 1 << 22
@@ -221,6 +224,25 @@ def _block_links(bounds: list[int], percent: int):
     return work
 
 
+def _bit(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def filter_of(ids: DataFrame) -> DataFrame:
+    """The pages of a bit map of the hashes of ``id``, 4 KB each and
+    ``FILTER_BITS / 8`` bytes altogether at most."""
+    return ids.select((_bit("id") / _PAGE).cast("int").alias("__page"), (_bit("id") % _PAGE).alias("at")).groupBy("__page").agg(F.expr("bitmap_construct_agg(at)").alias("__bits"))
+
+
+def perhaps_in(rows: DataFrame, key: str, pages: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be among the ids of the bit map, no other missing."""
+    at = _bit(key) % _PAGE
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(b, p) & 1 = 1")
+    kept = rows.join(F.broadcast(pages), (_bit(key) / _PAGE).cast("int") == F.col("__page"))
+    return kept.withColumns({"b": byte, "p": (at % 8).cast("int")}).filter(hit).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -252,11 +274,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     full = full.groupBy("n", "pivot", "last", "mark").agg(F.min("band").alias("band"))
     members = materialise(bands.join(full.select("band", "n", "pivot"), "band"), "members")
     wanted = materialise(members.select("id").distinct(), "wanted")
-    # the texts of candidates are needed again: while the ids are few they go to all
-    # tasks and no text moves; beyond that both sides are shuffled by id
-    among = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    # the texts of candidates are needed again; the exact join moves what the filter lets by
+    among = wanted.hint("merge")
     sets = materialise(
-        rows.join(among, rows.doc_id == among.id, "left_semi")
+        perhaps_in(rows, "doc_id", filter_of(wanted)).join(among, F.col("doc_id") == F.col("id"), "left_semi")
         .select(F.col("doc_id").alias("id"), "text")
         .mapInArrow(lambda it, w=shingle_words: _sets(w, it), "id long, shingles array<long>"),
         "sets",
@@ -319,6 +340,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     found = dealt.groupBy("band", "kind", "p", "q").applyInPandas(_block_links(bounds, percent), "a long, b long")
     # each pair of members of different components has been looked at now
     comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(few)).union(found))
+    for df in (members, wanted, sets, marks, tested, links, still):
+        discard(df)
     ids = classes.select("digest", "id").join(comps, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -25,7 +25,8 @@ SHARPNESS = 12.0
 #: that one doubled word doesn't fill a short text's vector.
 REPEAT_PRIOR = 16
 BLOCK = 256
-#: A text is turned into terms in pieces of so many bytes, so memory is bounded.
+#: A text is turned into terms in pieces of about so many bytes, cut at white
+#: space, so memory is bounded by that and the longest word.
 PIECE = 1 << 22
 
 
@@ -68,24 +69,28 @@ def term_counts(text: str) -> np.ndarray:
     repeats the one before it."""
     out = np.zeros(TERMS)
     data = text.encode("utf-8", "replace")
-    for at in range(0, len(data), PIECE):
-        b = np.frombuffer(data, np.uint8, min(PIECE, len(data) - at), at)
-        c = CLASS[b].astype(np.uint64)
+    at, n, last, before = 0, len(data), None, b""
+    while at < n:
+        end = min(n, at + PIECE)
+        while end < n and data[end] > 32:  # a word stays whole
+            end += 1
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        c = CLASS[np.concatenate([np.frombuffer(before, np.uint8), b])].astype(np.uint64)
+        before = data[max(0, end - 3) : end]  # for the runs over the border
         if len(c) >= 4:
             g = ((c[:-3] * np.uint64(64) + c[1:-2]) * np.uint64(64) + c[2:-1]) * np.uint64(64) + c[3:]
             out[:SHAPES] += np.bincount((_mix(g) % np.uint64(SHAPES)).astype(np.int64), minlength=SHAPES)
-        gap = c <= 1
+        gap = CLASS[b] <= 1
         edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
-        starts, ends = edge[::2], edge[1::2]
+        starts = edge[::2]
         if len(starts):
-            where = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))), axis=0) if starts[0] == 0 else None
-            if where is None:
-                where = np.zeros(len(b), np.int64)
-                where[starts[0] :] = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-            h = np.where(gap, np.uint64(0), BYTE_HASH[b] * POWERS[where & 63])
-            w = _mix(np.add.reduceat(h, starts))
+            where = np.zeros(len(b), np.int64)
+            where[starts[0] :] = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+            w = _mix(np.add.reduceat(np.where(gap, np.uint64(0), BYTE_HASH[b] * POWERS[where & 63]), starts))
             out[SHAPES : TERMS - 1] += np.bincount((w % np.uint64(WORDS - 1)).astype(np.int64), minlength=WORDS - 1)
-            out[TERMS - 1] += int((w[1:] == w[:-1]).sum())
+            out[TERMS - 1] += int((w[1:] == w[:-1]).sum()) + (last is not None and w[0] == last)
+            last = w[-1]
+        at = end
     return out
 
 
@@ -113,12 +118,13 @@ class QualityModel:
     prior: float
 
     def latent(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([term_vector(t) for t in texts]) @ self.projection
+        x = np.stack([term_vector(t) for t in texts]).astype(np.float64) @ self.projection
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, each with the
-        weight exp(SHARPNESS * (cosine - 1)); the prior for a text without terms."""
+        """Share of label 1 among the ``NEIGHBOURS`` nearest labelled vectors and
+        those as near as the last of them, each with the weight
+        exp(SHARPNESS * (cosine - 1)); the prior for a text without terms."""
         out = np.full(len(texts), self.prior)
         at = [k for k, t in enumerate(texts) if t.strip()]
         if not at or not len(self.labels):
@@ -126,10 +132,10 @@ class QualityModel:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(at), BLOCK):
             rows = at[i : i + BLOCK]
-            cosine = self.latent([texts[r] for r in rows]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, 1).astype(np.float64) - 1))
-            out[rows] = (weight * self.labels[near]).sum(1) / weight.sum(1)
+            cosine = self.latent([texts[r] for r in rows]) @ self.vectors.T  # in double precision
+            row, near = np.nonzero(cosine >= np.partition(cosine, -k, axis=1)[:, -k:].min(1)[:, None])
+            weight = np.exp(SHARPNESS * (cosine[row, near] - 1))
+            out[rows] = np.bincount(row, weight * self.labels[near], len(rows)) / np.bincount(row, weight, len(rows))
         return np.clip(out, 0.0, 1.0)
 
 
@@ -150,10 +156,10 @@ def _fit(x: np.ndarray, y: list[int], every: list[int], seed: int = 7) -> Qualit
         q = np.linalg.qr(x @ q)[0]
         q = np.linalg.qr(x.T @ q)[0]
     vt = np.linalg.svd(x @ q, full_matrices=False)[2]
-    projection = (q @ vt[:dims].T).astype(np.float32)
+    projection = (q @ vt[:dims].T).astype(np.float64)
     v = x @ projection
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    return QualityModel(projection, v.astype(np.float32), np.asarray(y, np.float64), prior)
+    return QualityModel(projection, v, np.asarray(y, np.float64), prior)
 
 
 def held_out(key):

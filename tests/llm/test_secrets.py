@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -34,7 +37,67 @@ def test_guess_costs(dearer, cheaper):
 def test_cost_is_the_cheapest_cut():
     assert se.guess_cost("passwordpassword") < 2 * se.guess_cost("password") + 1
     assert se.guess_cost("") == 0 and se.guess_cost("x" * 500) < 60
-    assert se.guess_cost("Zx9!" * 40) > 10
+    assert se.guess_cost("Zx9!" * 40) == pytest.approx(4 * math.log10(26 + 26 + 10 + 33) + math.log10(40))  # one repeat, not cut
+
+
+def span_cost(s):
+    """The cheapest kind of a whole span that isn't brute force, by its definition."""
+    low, out = s.lower(), []
+    plain = low.translate(se.LEET)
+    if 3 <= len(s) <= se.LONGEST:
+        for w, odd in ((low, s != low), (plain, 1 + (s != low))):
+            if w in se._ranks() and (w == low or low not in se._ranks()):
+                out.append(math.log10(se._ranks()[w] * 2**odd * (4 if odd else 1)))
+    if len(s) == 1 and s in se.SEPARATORS:
+        out.append(math.log10(len(se.SEPARATORS)))
+    for d in se.DATES:
+        if d.fullmatch(s):
+            out.append(math.log10(120 if len(s) == 4 else 365 * 480))
+    for size in range(1, 9):
+        if len(s) % size == 0 and len(s) >= max(2 * size, 3) and s == s[:size] * (len(s) // size):
+            out.append(math.log10(max(10, se._pool(s[:size]))) * size + math.log10(len(s) // size))
+    if len(s) >= 4 and all(b in se.NEAR.get(a, ()) for a, b in zip(low, low[1:])):
+        ways = [se.ROWS_AT[b] - se.ROWS_AT[a] for a, b in zip(low, low[1:])]
+        out.append(math.log10(94) + (1 + sum(a != b for a, b in zip(ways, ways[1:]))) * math.log10(6) + math.log10(len(s)))
+    if len(s) >= 3 and low.isalnum() and {ord(b) - ord(a) for a, b in zip(low, low[1:])} in ({1}, {-1}):
+        out.append(math.log10(52 * len(s)))
+    return max(0.0, min(out)) if out else None
+
+
+def every_cut(value):
+    """The cheapest of all segmentations, each tried."""
+    each, best = math.log10(max(10, se._pool(value))), math.inf
+    for cuts in range(1 << (len(value) - 1)):
+        at = [0, *(k + 1 for k in range(len(value) - 1) if cuts >> k & 1), len(value)]
+        cost = 0.0
+        for a, b in zip(at, at[1:]):
+            c = span_cost(value[a:b])
+            # brute-force signs stand for themselves, in spans of any length
+            cost += min(each * (b - a), math.inf if c is None else c + (se.FURTHER if a else 0))
+        best = min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("value", ["P4ssw0rd2024", "qwertyqwerty", "aaaaadmin12", "abcabcabc321", "2020-01-019", "asdfgfdsa1", "x9$Lq2!vR7", "zyxwv_hello", "1234554321", "Admin.2021.q", "hahahaha"])
+def test_cost_equals_that_of_all_segmentations(value):
+    assert se.guess_cost(value) == pytest.approx(every_cut(value))
+
+
+@pytest.mark.parametrize("value", ["a" * 10_000, "asas" * 2500, "abcdefgh" * 1250, "kJ8#vQ2mZZ+Lp0!" * 700, "Zx9!qwerty" * 1000])
+def test_long_values_cost_linear_time_and_are_not_cut(value):
+    began = time.time()
+    cost = se.guess_cost(value)
+    assert time.time() - began < 5
+    text = f"secret_key={value} z"
+    assert se.redact(text) == ("secret_key=[REDACTED] z" if cost >= se.GUESS_LOG10 else text)
+    assert not se.is_guess("a" * 10_000) and se.is_guess("kJ8#vQ2mZZ" * 1000)
+
+
+def test_a_leading_part_never_decides_wrongly():
+    r = random.Random(4)
+    for _ in range(60):
+        body = "".join(r.choice(["a", "password", "qwerty", "x!", "2020"]) * r.randrange(1, 90) for _ in range(4))
+        assert se.is_guess(body) == (se.guess_cost(body) >= se.GUESS_LOG10)
 
 
 def test_method_adds_spans_in_context_only():

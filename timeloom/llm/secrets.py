@@ -54,14 +54,18 @@ NEAR = {
     for r, row in enumerate(ROWS)
     for c, a in enumerate(row)
 }
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"),
+    re.compile(r"(?:19|20)\d\d"),
+)
 #: Signs between words.
 SEPARATORS = "_-./:(),"
 #: Values that cost 10**GUESS_LOG10 guesses or more are reported.
 GUESS_LOG10 = 10.0
-#: A value longer than this is cut into spans of this length for the dynamic
-#: programme, and the costs of the spans are added.
-SPAN = 64
+#: What a span behind another adds.
+FURTHER = 0.3
+#: Signs of a long value that are looked at first.
+LEADING = 256
 
 
 @lru_cache(maxsize=1)
@@ -91,9 +95,18 @@ def _pool(s: str) -> int:
     return n + 100 * any(c >= "\x7f" for c in s)
 
 
+def _ends(i: int, last: int, least: int, step: int = 1):
+    """Where a span that may end at ``last`` ends: there, or up to ``LONGEST``
+    signs before, where a word that overlaps it may begin."""
+    return range(last, max(least, last - LONGEST) - 1, -step)
+
+
 def _edges(s: str):
-    """(start, end, log10 of the guesses, kind) of every span that isn't brute force."""
+    """(start, end, log10 of the guesses, kind) of every span that isn't brute
+    force.  Time and number are linear in ``s``: of a repeat or walk, the ends
+    that :func:`_ends` gives."""
     n, low = len(s), s.lower()
+    low = low if len(low) == n else s
     plain = low.translate(LEET)
     ranks = _ranks()
     for i in range(n):
@@ -107,67 +120,69 @@ def _edges(s: str):
     for i in range(n):
         if s[i] in SEPARATORS:
             yield i, i + 1, math.log10(len(SEPARATORS)), "separator"
-    for m in (DATE.match(s, i) for i in range(n)):
-        if m:
-            yield m.start(), m.end(), math.log10(120 if m.end() - m.start() == 4 else 365 * 120 * 4), "date"
     for i in range(n):
-        for size in range(1, min(8, (n - i) // 2) + 1):
-            unit, j = s[i : i + size], i + size
-            while s.startswith(unit, j):
-                j += size
-            if j > i + size and j - i >= 3:
-                base = math.log10(max(10, _pool(unit))) * size
-                yield i, j, base + math.log10((j - i) // size), "repeat"
-    for i in range(n - 2):
-        j, turns, step = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            way = ROWS_AT[low[j]] - ROWS_AT[low[j - 1]]
-            turns += way != step
-            step = way
-            j += 1
-        if j - i >= 4:
-            yield i, j, math.log10(94) + turns * math.log10(6) + math.log10(j - i), "walk"
-        j, step = i + 1, None
-        while j < n and low[j].isalnum() and (d := ord(low[j]) - ord(low[j - 1])) in (1, -1) and step in (None, d):
-            step, j = d, j + 1
-        if j - i >= 3:
+        for pattern in DATES:
+            if m := pattern.match(s, i):
+                yield i, m.end(), math.log10(120 if m.end() - i == 4 else 365 * 120 * 4), "date"
+    for size in range(1, 9):
+        same = 0  # so many signs from here on equal those ``size`` later
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if s[i] == s[i + size] else 0
+            if same >= size:
+                base = math.log10(max(10, _pool(s[i : i + size]))) * size
+                for j in _ends(i, i + size + same // size * size, i + max(2 * size, 3), size):
+                    yield i, j, base + math.log10((j - i) // size), "repeat"
+    # a walk goes on while each sign is next to the one before
+    turns = [0] * (n + 1)  # changes of direction up to here
+    for i in range(2, n):
+        turns[i] = turns[i - 1] + (_step(low, i) != _step(low, i - 1))
+    end = n
+    for i in range(n - 2, -1, -1):
+        end = end if low[i + 1] in NEAR.get(low[i], ()) else i + 1
+        for j in _ends(i, end, i + 4):
+            yield i, j, math.log10(94) + (1 + turns[j - 1] - turns[i + 1]) * math.log10(6) + math.log10(j - i), "walk"
+    end, ahead = n, 0
+    for i in range(n - 2, -1, -1):
+        d = ord(low[i + 1]) - ord(low[i]) if low[i : i + 2].isalnum() else 0
+        d = d if d in (1, -1) else 0
+        end = i + 1 if not d else end if d == ahead else i + 2
+        ahead = d
+        for j in _ends(i, end, i + 3):
             yield i, j, math.log10(26 * 2 * (j - i)), "walk"
 
 
+def _step(low: str, i: int):
+    """Direction on the keyboard from the sign before ``i``."""
+    a, b = ROWS_AT.get(low[i - 1]), ROWS_AT.get(low[i])
+    return None if a is None or b is None else b - a
+
+
 ROWS_AT = {a: r * 100 + c for r, row in enumerate(ROWS) for c, a in enumerate(row)}
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value``: the cheapest way to cut it into
-    common words, separators, dates, repeats, keyboard walks, runs and brute-force spans,
-    where each further span costs a factor of ten at least."""
-    if len(value) > SPAN:
-        return sum(guess_cost(value[i : i + SPAN]) for i in range(0, len(value), SPAN))
+def _short_cost(value: str) -> float:
+    return _cheapest(value)
+
+
+def _cheapest(value: str) -> float:
     n = len(value)
-    if not n:
-        return 0.0
     each = math.log10(max(10, _pool(value)))
     best = [0.0] + [math.inf] * n
     ends: list[list] = [[] for _ in range(n + 1)]
     for i, j, cost, _ in _edges(value):
         ends[j].append((i, cost))
     for j in range(1, n + 1):
-        best[j] = min(best[i] + (j - i) * each for i in range(j))
-        for i, cost in ends[j]:
-            best[j] = min(best[j], best[i] + max(cost, 0.0) + (0.3 if i else 0.0))
+        best[j] = min(best[j - 1] + each, min((best[i] + max(cost, 0.0) + (FURTHER if i else 0.0) for i, cost in ends[j]), default=math.inf))
     return best[n]
 
 
-def _costs(value: str, least: float) -> bool:
-    """Whether the guess cost of ``value`` is ``least`` or more; the spans of a
-    long value are added until it is."""
-    cost = 0.0
-    for i in range(0, len(value), SPAN):
-        cost += guess_cost(value[i : i + SPAN])
-        if cost >= least:
-            return True
-    return cost >= least
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for ``value``: the cheapest way to cut it into common
+    words, separators, dates, repeats, keyboard walks, runs and brute-force
+    signs, where each span but the first costs ``FURTHER`` more.  The whole
+    value, however long, in time linear in it."""
+    return _short_cost(value) if len(value) <= 64 else _cheapest(value)
 
 
 def is_guess(value: str, least: float = GUESS_LOG10) -> bool:
@@ -176,7 +191,12 @@ def is_guess(value: str, least: float = GUESS_LOG10) -> bool:
     body = value.strip(".,:;!?)(]}[{")
     if len(body) < 8 or body.startswith(("$", "{{", "%", "<")):
         return False
-    return _costs(body, least)
+    # a span over the border of a leading part stands for LONGEST brute-force signs
+    # of it at most, so a part that costs that much more decides for the whole
+    head = body[:LEADING]
+    if len(head) < len(body) and guess_cost(head) - LONGEST * math.log10(_pool(head) or 10) >= least:
+        return True
+    return guess_cost(body) >= least
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:

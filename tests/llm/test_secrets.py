@@ -83,7 +83,7 @@ def test_cost_equals_that_of_all_segmentations(value):
     assert se.guess_cost(value) == pytest.approx(every_cut(value))
 
 
-@pytest.mark.parametrize("value", ["a" * 10_000, "asas" * 2500, "abcdefgh" * 1250, "kJ8#vQ2mZZ+Lp0!" * 700, "Zx9!qwerty" * 1000])
+@pytest.mark.parametrize("value", ["m" * 10_000, "asas" * 2500, "abcdefgh" * 1250, "kJ8#vQ2mZZ+Lp0!" * 700, "Zx9!qwerty" * 1000])
 def test_long_values_cost_linear_time_and_are_not_cut(value):
     began = time.time()
     cost = se.guess_cost(value)

@@ -3,9 +3,12 @@ materialised intermediates, table reading and distributed connected components."
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +66,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def trim_memory() -> None:
     """Give back to the system what a worker has freed, so that the stages after
     this one, which run in the same worker, have it."""
-    import ctypes
-
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -74,6 +73,16 @@ def trim_memory() -> None:
         pass
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a worker holds what it makes of
+    few texts at a time; what it has freed goes back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        trim_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

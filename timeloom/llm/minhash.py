@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, text_or_empty
+from .common import components, discard, materialise, slices, text_or_empty
 
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
@@ -146,7 +146,7 @@ SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
 
 
 def _sketch(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, digests, signatures = [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), words)
@@ -161,7 +161,7 @@ def _sketch(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Few rows at a time: the sets are as large as the texts."""
-    for batch in batches:
+    for batch in slices(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column("text")]

@@ -46,7 +46,7 @@ RANK_SHIFT = 500
 #: for signs that the vocabulary lacks and for nothing else.
 BYTE_PENALTY = 10.0
 #: Parts of texts whose segmentation a worker remembers, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 REMEMBERED_LENGTH = 64
 #: Bytes of texts whose new parts are searched together.
 TOGETHER = 3 << 20
@@ -356,6 +356,10 @@ class PieceModel:
             new = parts - self.known.at.keys()
         self.leads(list(new))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.lists.clear()
+
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a whole text: (score, ids)."""
         parts = self.parts(text)
@@ -532,8 +536,11 @@ def _segment(path: str, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             at, cut = m.places(texts)
             for i, j in _groups((4 * n * np.diff(cut)).tolist(), HANDED_ON):
                 yield _rows(m, keys.slice(a + i, j - i), texts[i:j], at[cut[i] : cut[j]], cut[i : j + 1] - cut[i], n)
-        del batch, keys, column, texts
+            del texts, at, cut
+        del batch, keys, column
         trim_memory()
+    m.forget()  # the next stage may run in this worker
+    trim_memory()
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: The vectors are fitted on so many labelled rows at most, half of them of
 #: each label where there are enough; which ones, the hash of the id decides.
@@ -203,7 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms as sparse pairs: an index of two bytes and a weight of four each."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, out = [], []
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             s = text.as_py()
@@ -217,7 +217,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = model.value
-    for batch in batches:
+    for batch in slices(batches):
         scores = m.scores(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -239,7 +239,7 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 def _keep(model, column: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = model.value
-    for batch in batches:
+    for batch in slices(batches):
         texts = ["" if t is None else t for t in batch.column(column).to_pylist()]
         yield batch.filter(pa.array(m.scores(texts) >= 0.5))
 

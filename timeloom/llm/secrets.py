@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -244,7 +244,7 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols: list[list] = [[], [], [], [], []]
         for text in batch.column("text"):
             spans = all_spans(text.as_py())
@@ -272,7 +272,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def _redact(column: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [None if t is None else redact(t) for t in batch.column(column).to_pylist()]
         yield batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type))
 

@@ -14,6 +14,7 @@ from timeloom.operators import library as li
 from timeloom.operators import similarity as si
 from timeloom.operators import telemetry as te
 from timeloom.sources import container, decoded, history, store
+from timeloom.streaming import gate
 
 
 @pytest.mark.parametrize("ticks, num, den, want", [(90000, 1, 90000, 1_000_000), (-1, 1, 3, -333_333), (2**63 - 1, 2**31 - 1, 2**31 - 1, None), (2**63 - 1, 1, 1_000_000, 2**63 - 1), (None, 1, 2, None), (-(2**63), 1, 1_000_000, -(2**63))])
@@ -119,25 +120,40 @@ def test_bindings_and_codes(spark):
     assert spark.range(1).select(names.error_code(F.lit("ENOSPC: x"))).first()[0] == "storage_full"
 
 
-def test_gate_and_admission():
+def test_gate():
     g = policy.Gate()
     assert [g.submit(1), g.submit(2), g.submit(3), g.finish(), g.invalidate(), g.finish(), g.finish()] == ["started", "queued", "replaced", "shown", "invalidated", "stale", "ignored"]
-    a = policy.Admission()
-    assert a.plan(1, 0.1, 10, 0) == ("now", 0)
-    a.admit(0.1, 10, 0)
-    assert a.plan(1, 0.1, 10, policy.MS) == ("none", 0)
-    assert a.plan(1, 0.101, 11, 2 * policy.MS)[0] == "later"
-    assert a.plan(1, 0.2, 20, 200 * policy.MS) == ("now", 0)
-    assert a.plan(0, 0.2, 20, 0) == ("none", 0)
-
-
-def test_eta():
-    rates = [(2.0, 30.0, 500)] * 4
-    assert te.eta(rates, 5_000_000, 10_000_000, 2000) == (3, 3)
-    assert te.eta(rates[:3], 5_000_000, 10_000_000, 2000) is None
-    assert te.eta(rates, 5_000_000, 10_000_000, 900) is None
-    assert te.eta([*rates, (9.0, 30.0, 500)], 5_000_000, 10_000_000, 2000) is None
-    assert te.eta(rates, 9_990_000, 10_000_000, 2000) is None
+
+
+def test_admission(spark):
+    ms = policy.MS
+    rows = [  # session, fraction, target, at, plan
+        (1, 0.1, 10, 0, "now"), (1, 0.1, 10, ms, "none"), (1, 0.101, 11, 2 * ms, "later"), (1, 0.2, 20, 200 * ms, "now"),
+        (1, 0.3, 30, 232 * ms, "now"), (1, 0.2, 20, 245 * ms, "now"), (1, 0.25, 25, 250 * ms, "later"), (1, float("nan"), 25, 251 * ms, "none"), (1, 0.25, 25, 252 * ms, "now"),
+        (0, 0.2, 20, 0, "none"), (2, 2.0, 5, 0, "now"), (2, 1.5, 6, 15 * ms, "later"), (2, 1.5, 6, 16 * ms, "now"),
+    ]
+    df = spark.createDataFrame([(s, k, f, t, at) for k, (s, f, t, at, _) in enumerate(rows)], "session long, seq long, fraction double, target long, at long")
+    got = {r["seq"]: r for r in gate.admit(df).collect()}
+    assert [got[k]["plan"] for k in range(len(rows))] == [r[4] for r in rows]
+    assert got[2]["wait_ms"] == 30 and got[11]["wait_ms"] == 1 and got[6]["wait_ms"] == 45  # 1 a second waits 32 ms, 10 a second 50
+    # 0.1 away is a jump in 32-bit floats
+    two = spark.createDataFrame([(1, 0, 0.2, 1, 0), (1, 1, 0.3, 2, 33 * ms)], "session long, seq long, fraction double, target long, at long")
+    assert [r["plan"] for r in gate.admit(two).orderBy("seq").collect()] == ["now", "now"]
+
+
+def test_eta(spark):
+    def left(rates, covered, duration, observed):
+        df = spark.createDataFrame([([float(m) for m, _ in rates], [float(x) for _, x in rates], covered, duration, observed)], "m array<double>, d array<double>, c long, t long, o long")
+        return tuple(df.select(*te.time_left(*(F.col(c) for c in "mdcto"))).first())
+
+    rates = [(2.0, 30.0)] * 4
+    assert left(rates, 5_000_000, 10_000_000, 2000) == (3, 3)
+    assert left(rates[:3], 5_000_000, 10_000_000, 2000) == (None, None)
+    assert left(rates, 5_000_000, 10_000_000, 900) == (None, None)
+    assert left([*rates, (9.0, 30.0)], 5_000_000, 10_000_000, 2000) == (None, None)
+    assert left(rates, 9_990_000, 10_000_000, 2000) == (None, None)
+    assert left(rates, 5_000_000, None, 2000) == left(rates, None, 10_000_000, 2000) == (None, None)
+    assert left([(1.0, 30.0), (1.2, 30.0), (1.1, 1.0), (1.0, 30.0)], 5_000_000, 10_000_000, 2000) == (None, None)
 
 
 def test_caches(spark):

@@ -129,12 +129,12 @@ def luma_similarity(a: np.ndarray, b: np.ndarray) -> int:
 def shifted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Best likeness of n pairs of descriptors over moves of one cell."""
     best = np.zeros(len(a), np.int64)
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    a, b = a.astype(np.int16), b.astype(np.int16)
     cut = {-1: (slice(1, None), slice(None, -1)), 0: (slice(None), slice(None)), 1: (slice(None, -1), slice(1, None))}
     for ya, yb in cut.values():
         for xa, xb in cut.values():
             d = np.abs(a[:, ya, xa] - b[:, yb, xb])
-            best = np.maximum(best, basis_points(d.sum((1, 2, 3)), d[0].size))
+            best = np.maximum(best, basis_points(d.sum((1, 2, 3), dtype=np.int64), d[0].size if len(d) else 1))
     return best
 
 
@@ -149,21 +149,40 @@ def _axis_weights(inset: int) -> np.ndarray:
     return w
 
 
-_WEIGHTS = {i: _axis_weights(i) for i in INSETS}
+# whole numbers below 2**53 as doubles: products and sums are exact
+_WEIGHTS = {i: _axis_weights(i).astype(np.float64) for i in INSETS}
+
+
+def crops(x: np.ndarray) -> np.ndarray:
+    """All crops of n descriptors, resampled: crops x n x 768."""
+    rows = np.ascontiguousarray(np.moveaxis(x, 3, 1), dtype=np.float64)  # n, colour, y, x
+    wide = {i: rows @ _WEIGHTS[i].T for i in INSETS}
+    out = []
+    for ix in INSETS:
+        for iy in INSETS:
+            if ix or iy:
+                s = np.minimum(np.floor((_WEIGHTS[iy] @ wide[ix] + (1 << 31)) / 2.0**32), 255)
+                out.append(np.moveaxis(s.astype(np.int16), 1, 3).reshape(len(x), -1))
+    return np.stack(out)
+
+
+def cropped_of(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """Best likeness of the pairs a[ia], b[ib] over crops of the first, then of the
+    second; each descriptor is cropped once, however many pairs it is in."""
+    least = np.full(len(ia), np.iinfo(np.int64).max)
+    for source, i, target, j in ((a, ia, b, ib), (b, ib, a, ia)):
+        flat = target.reshape(len(target), -1).astype(np.int16)
+        for cut in crops(source):
+            for k in range(0, len(i), at_once):
+                part = slice(k, k + at_once)
+                d = np.abs(cut[i[part]] - flat[j[part]]).sum(1, dtype=np.int64)
+                np.minimum(least[part], d, out=least[part])
+    return basis_points(least, SIDE * SIDE * 3)
 
 
 def cropped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Best likeness of n pairs over crops of the first, then of the second."""
-    best = np.zeros(len(a), np.int64)
-    for source, target in ((a.astype(np.int64), b.astype(np.int64)), (b.astype(np.int64), a.astype(np.int64))):
-        for ix in INSETS:
-            for iy in INSETS:
-                if ix or iy:
-                    s = np.einsum("yj,njic->nyic", _WEIGHTS[iy], np.einsum("xi,njic->njxc", _WEIGHTS[ix], source))
-                    s = np.minimum((s + (1 << 31)) >> 32, 255)
-                    d = np.abs(s - target)
-                    best = np.maximum(best, basis_points(d.sum((1, 2, 3)), SIDE * SIDE * 3))
-    return best
+    every = np.arange(len(a))
+    return cropped_of(a, every, b, every)
 
 
 def confirm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,6 +190,12 @@ def confirm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(shifted(a, b), cropped(a, b))
 
 
+def confirm_of(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Likeness of the pairs a[ia], b[ib]."""
+    moved = [shifted(a[ia[k : k + 1024]], b[ib[k : k + 1024]]) for k in range(0, len(ia), 1024)]
+    return np.maximum(np.concatenate(moved), cropped_of(a, ia, b, ib))
+
+
 def hybrid(a: np.ndarray, b: np.ndarray, max_distance: int = 8, least: int = 9700) -> str:
     """hash rejected, pixels rejected or accepted."""
     if a.shape != b.shape:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +39,13 @@ def with_bucket(descriptors: DataFrame) -> DataFrame:
     """Adds the colour bucket."""
 
     @F.pandas_udf("int")
-    def bucket(rgb):
-        return rgb.map(lambda r: px.colour_bucket(np.frombuffer(r, np.uint8)))
+    def bucket(rgb: pd.Series) -> pd.Series:
+        if not len(rgb):
+            return pd.Series([], dtype="int32")
+        flat = np.frombuffer(b"".join(rgb), np.uint8).reshape(len(rgb), -1, 3).sum(1, dtype=np.int64)
+        n = px.SIDE * px.SIDE
+        q = np.minimum((flat + n // 2) // n >> px.BUCKET_SHIFT, 31)
+        return pd.Series((q[:, 0] | q[:, 1] << 5 | q[:, 2] << 10).astype(np.int32))
 
     return descriptors.withColumn("bucket", bucket("rgb"))
 
@@ -73,17 +79,28 @@ def candidates(descriptors: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """Adds the likeness of the descriptors, best over small moves and crops."""
+    """Adds the likeness of the descriptors, best over small moves and crops.
+
+    Pairs are dealt by the frame, whose partners are as many as there are targets
+    that look for it, so a target with very many candidates is spread; a batch
+    crops each of its descriptors once."""
+
+    def unpacked(ids: pa.Array, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, first, place = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        return np.frombuffer(b"".join(raw.take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, px.SIDE, px.SIDE, 3), place
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, px.SIDE, px.SIDE, 3) for c in ("a", "b"))
-                yield pa.RecordBatch.from_arrays([part.column("target"), part.column("frame_id"), pa.array(px.confirm(x, y), pa.int64())], ["target", "frame_id", "similarity"])
-
-    d = descriptors.select("frame_id", F.col("rgb").alias("b"))
-    both = pairs.join(d, "frame_id").join(d.select(F.col("frame_id").alias("target"), F.col("b").alias("a")), "target")
+            if b.num_rows:
+                (x, ix), (y, iy) = unpacked(b.column("target"), b.column("a")), unpacked(b.column("frame_id"), b.column("b"))
+                yield pa.RecordBatch.from_arrays([b.column("target"), b.column("frame_id"), pa.array(px.confirm_of(x, ix, y, iy), pa.int64())], ["target", "frame_id", "similarity"])
+
+    spark = descriptors.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = pairs.select("target").distinct().join(descriptors.select(F.col("frame_id").alias("target"), F.col("rgb").alias("a")), "target")
+    # adaptive execution would join so few bytes into one task, and the work isn't in the bytes
+    dealt = pairs.join(asked, "target").repartition(n, "frame_id")
+    both = dealt.join(descriptors.select("frame_id", F.col("rgb").alias("b")).repartition(n, "frame_id"), "frame_id")
     return both.select("target", "frame_id", "a", "b").mapInArrow(work, "target long, frame_id long, similarity long")
 
 

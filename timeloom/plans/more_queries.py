@@ -55,14 +55,8 @@ def pictures(spark, d):
 HEX = "array_to_string(list_transform(v, lambda x: printf('%02X%02X%02XFF', x, x, x)), '')"
 
 
-@query("s4_materialise", f"SELECT frame_id, {HEX} AS pixels FROM grid WHERE frame_id % 20 = 3", GRID)
+@query("s4_materialise", f"SELECT frame_id, {HEX} AS pixels FROM grid", GRID)
 def s4(spark, d):
-    p = pictures(spark, d).filter("frame_id % 20 = 3")
-    return pi.tight(p).select("frame_id", F.hex("tight").alias("pixels"))
-
-
-@query("s4_materialise_all")
-def s4_all(spark, d):
     return pi.tight(pictures(spark, d)).select("frame_id", F.hex("tight").alias("pixels"))
 
 
@@ -99,11 +93,6 @@ def k7(spark, d):
 
 
 def pairs(spark, d):
-    g = br.grid(spark, d).select("frame_id")
-    return g.select(F.col("frame_id").alias("target"), ((F.col("frame_id") * 7 + 3) % 500).alias("frame_id"))
-
-
-def all_pairs(spark, d):
     """Each frame with one partner, and each frame as the partner of one, by rank."""
     g = br.grid(spark, d).select("frame_id")
     n = g.count()
@@ -113,7 +102,8 @@ def all_pairs(spark, d):
     return r.toDF("target", "r").select("target", partner.alias("r")).join(r.toDF("frame_id", "r"), "r").select("target", "frame_id")
 
 
-PAIRS = f"{GRID}, pairs AS (SELECT frame_id AS target, (frame_id * 7 + 3) % 500 AS frame_id FROM grid)"
+PAIRS = f"""{GRID}, places AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS r, count(*) OVER () AS n FROM grid),
+pairs AS (SELECT x.frame_id AS target, y.frame_id FROM places x JOIN places y ON y.r = (x.r * CASE WHEN x.n % 7 = 0 THEN 1 ELSE 7 END + 3) % x.n)"""
 
 
 @query("g11_rgb_similarity", "SELECT p.target, p.frame_id, 10000 - (3 * list_sum(list_transform(range(1, 65), lambda i: abs(x.v[i] - y.v[i])))::BIGINT * 10000 + 192 * 255 // 2) // (192 * 255) AS similarity FROM pairs p JOIN grid x ON x.frame_id = p.target JOIN grid y ON y.frame_id = p.frame_id", PAIRS)
@@ -133,29 +123,19 @@ def g22(spark, d):
     return g11(spark, d).select("target", "frame_id", (F.col("similarity") == 10000).alias("same"))
 
 
-@query("g11_rgb_similarity_all")
-def g11_all(spark, d):
-    return rgb_similarity(spark, d, all_pairs(spark, d))
-
-
-@query("g22_exact_threshold_all")
-def g22_all(spark, d):
-    return g11_all(spark, d).select("target", "frame_id", (F.col("similarity") == 10000).alias("same"))
-
-
 @query("g13_translation")
 def g13(spark, d):
-    return pi.pair_scores(all_pairs(spark, d), br.descriptors(spark, d), px.shifted, "similarity")
+    return pi.pair_scores(pairs(spark, d), br.descriptors(spark, d), px.shifted, "similarity")
 
 
 @query("g14_crop_search")
 def g14(spark, d):
-    return pi.pair_scores(all_pairs(spark, d), br.descriptors(spark, d), px.cropped, "similarity")
+    return pi.pair_scores(pairs(spark, d), br.descriptors(spark, d), px.cropped, "similarity")
 
 
 @query("g15_confirmation")
 def g15(spark, d):
-    return si.confirm(all_pairs(spark, d), br.descriptors(spark, d))
+    return si.confirm(pairs(spark, d), br.descriptors(spark, d))
 
 
 @query("g20_viewport", "SELECT p_partkey AS id, least(1.0, 1.0 / least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h)) AS minimum, least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h) AS fit FROM (SELECT p_partkey, p_size * 40 AS w, p_size * 25 AS h FROM part)")
@@ -186,54 +166,45 @@ def s12(spark, d):
     return good.groupBy("source_key").agg(F.count("*").alias("frames"), F.count_if(F.col("ticks").isNull()).alias("untimed"))
 
 
-def _one(spark, d):
-    return br.frames(spark, d).filter("source_key = 1").drop("source_key")
-
-
-ONE = f"{FRAMES}, one AS (SELECT frame_id, ticks, keyframe FROM frames WHERE source_key = 1)"
-
-
-@query("k1_append_batches", "SELECT frame_id, ticks, keyframe FROM one", ONE)
+@query("k1_append_batches", "SELECT source_key, frame_id, ticks, keyframe, frame_id // 256 AS batch FROM frames", FRAMES)
 def k1(spark, d):
-    s, f = store.FrameStore(spark, shared(spark), "1", "sha256:a"), _one(spark, d)
-    s.open()
-    n, at = f.count(), 0
-    while at < n:
-        at = s.append(f.filter(F.col("frame_id").between(at, at + 255)).select("frame_id", "ticks", "keyframe"))
-    s.mark("complete")
-    return s.frames()
+    s = store.FrameStores(spark, shared(spark))
+    s.append(br.frames(spark, d).select("source_key", "frame_id", "ticks", "keyframe"))
+    return s.frames().select("source_key", "frame_id", "ticks", "keyframe", "batch")
 
 
-@query("k2_truncate", "SELECT frame_id, ticks, keyframe FROM one WHERE frame_id < 20", ONE)
+@query("k2_truncate", "SELECT source_key, frame_id, ticks, keyframe FROM frames WHERE frame_id < 20", FRAMES)
 def k2(spark, d):
-    s = store.FrameStore(spark, shared(spark), "1", "sha256:a")
-    s.open()
-    s.append(_one(spark, d).select("frame_id", "ticks", "keyframe"))
+    s = store.FrameStores(spark, shared(spark))
+    s.append(br.frames(spark, d).select("source_key", "frame_id", "ticks", "keyframe"))
     s.truncate(20)
-    return s.frames()
+    return s.frames().select("source_key", "frame_id", "ticks", "keyframe")
+
 
+SOURCES = f"{FRAMES}, sources AS (SELECT source_key, count(*) AS n FROM frames GROUP BY 1)"
 
-@query("s6_open_dispositions", "SELECT * FROM (VALUES (0, 'created', 0::BIGINT), (1, 'recovered', 5::BIGINT), (2, 'reused', 5::BIGINT), (3, 'rebuilt-identity', 0::BIGINT)) t(step, disposition, indexed_frames)")
+
+@query("s6_open_dispositions", """SELECT source_key, CASE source_key % 6 WHEN 0 THEN 'created' WHEN 1 THEN 'rebuilt-version' WHEN 2 THEN 'rebuilt-identity' WHEN 3 THEN 'rebuilt-version' WHEN 4 THEN 'recovered' ELSE 'reused' END AS disposition,
+    CASE WHEN source_key % 6 >= 4 THEN n ELSE 0 END AS indexed_frames FROM sources""", SOURCES)
 def s6(spark, d):
-    path, out = shared(spark), []
-    s = store.FrameStore(spark, path, "1", "sha256:a")
-    rows = _one(spark, d).filter("frame_id < 5").select("frame_id")
-    for k, act in enumerate((lambda: s.append(rows), lambda: s.mark("complete"), lambda: None)):
-        o = s.open()
-        out.append((k, o.disposition, o.indexed_frames))
-        act()
-    o = store.FrameStore(spark, path, "1", "sha256:b").open()
-    return spark.createDataFrame([*out, (3, o.disposition, o.indexed_frames)], "step int, disposition string, indexed_frames long")
-
-
-@query("k3_lifecycle", "SELECT 'complete' AS lifecycle, 5::BIGINT AS indexed_frames, 5::BIGINT AS frame_count")
+    n = br.frames(spark, d).groupBy("source_key").agg(F.count("*").alias("n"))
+    k = F.col("source_key") % 6
+    # none stored; an old version; another identity; both; still building; complete
+    stored = n.filter(k != 0).select(
+        F.col("source_key").cast("string"), F.when(k.isin(1, 3), store.VERSION - 1).otherwise(store.VERSION).alias("version"), F.when(k == 4, "building").otherwise("complete").alias("lifecycle"),
+        F.concat(F.lit("sha256:"), F.when(k.isin(2, 3), "old").otherwise("own")).alias("identity"), F.col("n").alias("indexed_frames"), F.col("n").alias("frame_count"), F.lit(1).cast("long").alias("generation"),
+    )
+    wanted = n.select(F.col("source_key").cast("string"), F.lit("sha256:own").alias("identity"))
+    return store.dispositions(stored, wanted).select(F.col("source_key").cast("long"), "disposition", "indexed_frames")
+
+
+@query("k3_lifecycle", "SELECT source_key, CASE source_key % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete' ELSE 'failed' END AS lifecycle, n AS indexed_frames, CASE WHEN source_key % 3 = 0 THEN n END AS frame_count FROM sources", SOURCES)
 def k3(spark, d):
-    s = store.FrameStore(spark, shared(spark), "1", "sha256:a")
-    s.open()
-    s.append(_one(spark, d).filter("frame_id < 5").select("frame_id"))
-    s.mark("complete")
-    m = s.meta()
-    return spark.createDataFrame([(m["lifecycle"], m["indexed_frames"], m["frame_count"])], "lifecycle string, indexed_frames long, frame_count long")
+    s = store.FrameStores(spark, shared(spark))
+    s.append(br.frames(spark, d).select("source_key", "frame_id"))
+    for k, lifecycle in enumerate(("complete", "incomplete", "failed")):
+        s.mark(lifecycle, F.col("source_key").cast("long") % 3 == k)
+    return s.meta().select(F.col("source_key").cast("long"), "lifecycle", "indexed_frames", "frame_count")
 
 
 RUNS = """ru AS (SELECT *, value IS DISTINCT FROM lag(value) OVER w OR lag(frame_id) OVER w IS NULL AS ch FROM frames WINDOW w AS (PARTITION BY source_key ORDER BY frame_id)),

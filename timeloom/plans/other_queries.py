@@ -326,15 +326,8 @@ def t3(spark, d):
     return li.normalise(r).select("id", "uri", "opened_ms")
 
 
-@query("t4_library_order", "SELECT id, row_number() OVER (ORDER BY greatest(opened_ms, coalesce(modified_ms, 0)) DESC, id) AS place FROM reconciled ORDER BY place LIMIT 500", LIBRARY)
+@query("t4_library_order", "SELECT id, row_number() OVER (ORDER BY greatest(opened_ms, coalesce(modified_ms, 0)) DESC, id) AS place FROM reconciled", LIBRARY)
 def t4(spark, d):
-    # the report has 500 places; the place is numbered over those rows alone
-    top = li.ordered(j11(spark, d)).limit(500)
-    return top.select("id", F.row_number().over(Window.orderBy(li.recency().desc(), "id")).cast("long").alias("place"))
-
-
-@query("t4_library_order_all")
-def t4_all(spark, d):
     return li.numbered(j11(spark, d), [F.bitwise_not(li.recency()), F.col("id")]).select("id", "place")
 
 
@@ -548,7 +541,21 @@ def st8(spark, d):
     return replay(br.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("event_id").alias("target")))
 
 
-@query("st13_admission")
+#: The samples of a slider with what each step says, and the fold over the last admitted one.
+SCRUB = f"""{FRAMES}, s AS (SELECT source_key AS session, event_id AS seq, greatest(least((luma / 200.0)::FLOAT, 1::FLOAT), 0::FLOAT) AS x, luma::BIGINT AS target, event_id::BIGINT * 1000000 AS tm,
+  row_number() OVER (PARTITION BY source_key ORDER BY event_id) AS k FROM frames),
+d AS (SELECT *, x - lag(x) OVER w AS step, greatest(tm - lag(tm) OVER w, 0) AS gone FROM s WINDOW w AS (PARTITION BY session ORDER BY k)),
+y AS (SELECT *, CASE WHEN step > 0.00001::FLOAT THEN 1 WHEN step < -0.00001::FLOAT THEN -1 END AS way, CASE WHEN gone > 0 THEN abs(step)::DOUBLE * 1000000000.0 / gone ELSE 0 END AS pace FROM d),
+z AS (SELECT *, CASE WHEN pace >= 1.5 THEN 50000000 WHEN pace >= 0.35 THEN 32000000 ELSE 16000000 END AS wait,
+  coalesce(way <> last_value(way IGNORE NULLS) OVER (PARTITION BY session ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS turned FROM y),
+r AS (SELECT session, seq, k, CASE WHEN session > 0 THEN 'now' ELSE 'none' END AS plan, 0::BIGINT AS wait_ms, x AS ax, target AS atarget, tm AS aat FROM z WHERE k = 1
+  UNION ALL SELECT session, seq, k, plan, CASE WHEN plan = 'later' THEN greatest(1, (greatest(1, least(wait, CASE WHEN jump THEN 32000000 ELSE wait END) - since) + 999999) // 1000000) ELSE 0 END,
+    CASE WHEN plan = 'now' THEN x ELSE ax END, CASE WHEN plan = 'now' THEN target ELSE atarget END, CASE WHEN plan = 'now' THEN tm ELSE aat END
+  FROM (SELECT *, CASE WHEN session <= 0 OR target = atarget THEN 'none' WHEN since >= wait OR turned AND since >= 12000000 OR jump AND since >= 32000000 THEN 'now' ELSE 'later' END AS plan
+    FROM (SELECT z.*, r.ax, r.atarget, r.aat, greatest(0, z.tm - r.aat) AS since, abs(z.x - r.ax) >= 0.1::FLOAT AS jump FROM r JOIN z ON z.session = r.session AND z.k = r.k + 1)))"""
+
+
+@query("st13_admission", "SELECT session, seq, plan, wait_ms FROM r", f"RECURSIVE {SCRUB}")
 def st13(spark, d):
     from ..streaming.gate import admit
 

@@ -107,13 +107,8 @@ def w3(spark, d):
     return tl.anchors(br.frames(spark, d)).select("source_key", "frame_id", "anchor_frame", "anchor_ticks")
 
 
-@query("j14_nearest_keyframe", "SELECT source_key, frame_id, coalesce(anchor_frame, 0) AS decode_from FROM anch WHERE frame_id % 5 = 4", FA)
+@query("j14_nearest_keyframe", "SELECT source_key, frame_id, coalesce(anchor_frame, 0) AS decode_from FROM anch", FA)
 def j14(spark, d):
-    return j14_all(spark, d).filter("frame_id % 5 = 4")
-
-
-@query("j14_nearest_keyframe_all")
-def j14_all(spark, d):
     return tl.anchors(br.frames(spark, d)).select("source_key", "frame_id", F.coalesce("anchor_frame", F.lit(0)).cast("long").alias("decode_from"))
 
 
@@ -232,13 +227,8 @@ def a11(spark, d):
     return a.groupBy("source_key").agg(F.count_if(F.col("far") > 0).alias("seeks"), F.sum("far").alias("seek_frames"), F.max("far").alias("furthest"))
 
 
-@query("st12_seek_navigation", "SELECT source_key, frame_id, CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END AS decode_from, frame_id - CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END + 1 AS decoded FROM anch JOIN safety USING (source_key) WHERE frame_id % 4 = 3", f"{FA}, {SAFETY}")
+@query("st12_seek_navigation", "SELECT source_key, frame_id, CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END AS decode_from, frame_id - CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END + 1 AS decoded FROM anch JOIN safety USING (source_key)", f"{FA}, {SAFETY}")
 def st12(spark, d):
-    return st12_all(spark, d).filter("frame_id % 4 = 3")
-
-
-@query("st12_seek_navigation_all")
-def st12_all(spark, d):
     f = br.frames(spark, d)
     a = tl.anchors(f).join(tl.seek_safety(f), "source_key")
     start = F.when(F.col("seek_safe") & F.col("anchor_frame").isNotNull(), F.col("anchor_frame")).otherwise(0)
@@ -381,13 +371,8 @@ def p4(spark, d):
     return r.select("source_key", "ordinal", ((F.col("last") >= F.col("first")) & (F.col("frames") == F.col("last") - F.col("first") + 1) & (F.col("first") >= 0)).alias("valid"))
 
 
-@query("j8_group_of_frame", "SELECT f.source_key, f.frame_id, r.ordinal FROM frames f JOIN runs r ON r.source_key = f.source_key AND f.frame_id BETWEEN r.first AND r.last WHERE f.frame_id % 3 = 1", f"{FRAMES}, {RUNS}")
+@query("j8_group_of_frame", "SELECT f.source_key, f.frame_id, r.ordinal FROM frames f JOIN runs r ON r.source_key = f.source_key AND f.frame_id BETWEEN r.first AND r.last", f"{FRAMES}, {RUNS}")
 def j8(spark, d):
-    return gr.containing(runs(spark, d), br.frames(spark, d).filter("frame_id % 3 = 1").select("source_key", "frame_id"))
-
-
-@query("j8_group_of_frame_all")
-def j8_all(spark, d):
     return gr.containing(runs(spark, d), br.frames(spark, d).select("source_key", "frame_id"))
 
 

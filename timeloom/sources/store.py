@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 3
@@ -129,6 +129,87 @@ class FrameStore:
         self._set(lifecycle, n, n if lifecycle == "complete" else None, m["generation"])
 
 
+def dispositions(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What opening each of ``wanted`` (source_key, identity) finds in ``stored``
+    (as ``META``): created, rebuilt because the version or else the identity is
+    another, recovered where building went on, or reused; and the frames that
+    stay indexed."""
+    s = stored.withColumnRenamed("identity", "__own")
+    other = F.when(F.col("version").isNull(), "created").when(F.col("version") != VERSION, "rebuilt-version").when(~F.col("__own").eqNullSafe(F.col("identity")), "rebuilt-identity")
+    found = F.coalesce(other, F.when(F.col("lifecycle") == "complete", "reused").otherwise("recovered"))
+    return wanted.join(s, "source_key", "left").select("source_key", found.alias("disposition"), F.when(other.isNull(), F.col("indexed_frames")).otherwise(0).cast("long").alias("indexed_frames"))
+
+
+class FrameStores:
+    """Stores of any number of sources in one folder: their frames in one table a
+    generation, and a row of meta for each, published after the frames."""
+
+    def __init__(self, spark: SparkSession, path: str, batch: int = 256):
+        self.spark, self.path, self.batch = spark, path.rstrip("/"), batch
+
+    def meta(self) -> DataFrame:
+        if not _exists(self.spark, f"{self.path}/meta"):
+            return self.spark.createDataFrame([], META)
+        return self.spark.read.schema(META).parquet(f"{self.path}/meta")
+
+    def _generation(self) -> int:
+        return self.meta().agg(F.coalesce(F.max("generation"), F.lit(1))).first()[0]
+
+    def _counts(self) -> DataFrame:
+        return self.meta().select(F.col("source_key").alias("__source"), F.col("indexed_frames").alias("__indexed"), F.col("lifecycle").alias("__lifecycle"))
+
+    def frames(self) -> DataFrame:
+        """What meta vouches for: rows of an append that was lost aren't part of it."""
+        f = self.spark.read.parquet(f"{self.path}/frames-{self._generation()}")
+        return f.join(self._counts(), F.col("source_key").cast("string") == F.col("__source")).filter("frame_id < __indexed").drop("__source", "__indexed", "__lifecycle")
+
+    def append(self, frames: DataFrame, identity: str = "") -> None:
+        """Append the frames of many sources, each going on without a gap where it
+        stands, in batches of ``batch`` rows; all of them or none."""
+        key = F.col("source_key").cast("string")
+        n = frames.groupBy(key.alias("source_key")).agg(F.count("*").alias("n"), F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"), F.countDistinct("frame_id").alias("d"))
+        n = n.join(self._counts(), F.col("source_key") == F.col("__source"), "left").withColumn("at", F.coalesce("__indexed", F.lit(0)))
+        wrong = F.coalesce(F.col("__lifecycle") == "complete", F.lit(False)) | (F.col("lo") != F.col("at")) | (F.col("hi") != F.col("at") + F.col("n") - 1) | (F.col("d") != F.col("n"))
+        if bad := n.filter(wrong).select("source_key", "lo", "hi", "at").first():
+            raise StoreError(f"frames {bad['lo']}..{bad['hi']} of {bad['source_key']} don't follow {bad['at'] - 1} of an open store")
+        g = self._generation()
+        target = f"{self.path}/frames-{g}"
+        if _exists(self.spark, target):
+            left = self.spark.read.parquet(target).join(self._counts(), key == F.col("__source"), "left").filter("frame_id >= coalesce(__indexed, 0)")
+            if left.limit(1).count():  # of an append that was lost before its meta rows
+                self._rewrite(self.frames(), g + 1)
+                _delete(self.spark, target)
+                return self.append(frames, identity)
+        frames.withColumn("batch", F.expr(f"frame_id div {self.batch}")).repartition("source_key", "batch").sortWithinPartitions("source_key", "frame_id").write.mode("append").parquet(target)
+        new = n.select("source_key", F.lit(VERSION).alias("version"), F.lit("building").alias("lifecycle"), F.lit(identity).alias("identity"), (F.col("at") + F.col("n")).alias("indexed_frames"), F.lit(None).cast("long").alias("frame_count"), F.lit(g).cast("long").alias("generation"))
+        publish(self.meta().join(n, "source_key", "left_anti").withColumn("generation", F.lit(g).cast("long")).union(new), f"{self.path}/meta")
+
+    def _rewrite(self, keep: DataFrame, generation: int) -> None:
+        keep.write.mode("overwrite").parquet(f"{self.path}/frames-{generation}")
+        publish(self.meta().withColumn("generation", F.lit(generation).cast("long")), f"{self.path}/meta")
+
+    def truncate(self, frame_id: int) -> None:
+        """Drop all sources' frames from ``frame_id`` on; the rest is the next generation."""
+        g = self._generation()
+        self.frames().filter(F.col("frame_id") < frame_id).write.mode("overwrite").parquet(f"{self.path}/frames-{g + 1}")
+        cut = {"lifecycle": F.lit("building"), "indexed_frames": F.least("indexed_frames", F.lit(frame_id).cast("long")), "frame_count": F.lit(None).cast("long"), "generation": F.lit(g + 1).cast("long")}
+        publish(self.meta().withColumns(cut), f"{self.path}/meta")
+        _delete(self.spark, f"{self.path}/frames-{g}")
+
+    def mark(self, lifecycle: str, which: Column | None = None) -> None:
+        """complete (which fixes the frame counts), incomplete or failed."""
+        if lifecycle not in ("complete", "incomplete", "failed", "building"):
+            raise StoreError(f"unknown lifecycle {lifecycle!r}")
+        which = F.lit(True) if which is None else which
+        if lifecycle == "complete":
+            there = self.frames().groupBy(F.col("source_key").cast("string").alias("source_key")).agg(F.count("*").alias("there"))
+            short = self.meta().filter(which).join(there, "source_key", "left").filter("indexed_frames <> coalesce(there, 0)").first()
+            if short:
+                raise StoreError(f"rows of {short['source_key']} are missing")
+        count = F.col("indexed_frames") if lifecycle == "complete" else F.lit(None).cast("long")
+        publish(self.meta().withColumns({"lifecycle": F.when(which, lifecycle).otherwise(F.col("lifecycle")), "frame_count": F.when(which, count).otherwise(F.col("frame_count"))}), f"{self.path}/meta")
+
+
 def publish(df: DataFrame, path: str) -> None:
     """All or nothing: written beside its place, then moved there."""
     df.write.mode("overwrite").parquet(f"{path}.building")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import minhash, mixing, pieces, quality, secrets
-from timeloom.llm.common import materialise, table
+from timeloom.llm import minhash, mixing, pieces, quality, secrets, token_counts
+from timeloom.llm.common import discard, materialise, shared_path, table
 from timeloom.llm.queries import vocabulary
 
 
@@ -32,7 +32,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, those of rarer sources up to twice."""
-    return mixing.mix(docs, max_repetition=2.0)
+    counted = token_counts.token_counts(docs, vocabulary(), shared_path(spark, "token-cache"), others=("source",))
+    return mixing.mix(docs, counted, max_repetition=2.0, tokens="n_tokens")
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name}")
+            discard(before)
     return docs

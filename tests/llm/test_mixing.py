@@ -50,6 +50,42 @@ def test_mix_keeps_every_document(spark):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+@pytest.mark.parametrize("budget", [None, 3000])
+def test_copies_equal_brute_force(spark, monkeypatch, budget):
+    """Each source's documents in the order of the permutation, as far as the rest reaches."""
+    monkeypatch.setattr(mx, "BLOCK_TOKENS", 30)
+    d = docs(spark).union(spark.createDataFrame([(None, "w w w", "hot"), (9000, "", "hot")], "doc_id long, text string, source string"))
+    got = [r.asDict() for r in mx.copies(d, budget=budget).collect()]
+    sizes = {}
+    for r in got:
+        sizes[r["source"] or ""] = sizes.get(r["source"] or "", 0) + r["n_tokens"]
+    assert sizes == {(r["source"] or ""): r["n"] for r in d.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).alias("n")).collect()}
+    quotas = mx.solve(sizes, max_repetition=2.0, budget=budget).quotas
+    assert len({r["block"] for r in got if r["source"] == "hot"}) > 5
+    for s, n in sizes.items():
+        whole, rest = divmod(quotas[s], n)
+        own = sorted((r for r in got if (r["source"] or "") == s), key=lambda r: (r["block_order"], r["block"], r["doc_order"], r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]))
+        used, blocks = 0, {}
+        for r in own:
+            blocks.setdefault(r["block"], []).append(r)
+        for rows in blocks.values():
+            t = sum(r["n_tokens"] for r in rows)
+            fits = used + t <= rest
+            run = used
+            for r in rows:
+                run += r["n_tokens"]
+                assert r["n_copies"] == whole + (r["n_tokens"] > 0 and (fits or run <= rest)), r
+            used += t
+
+
+def test_columns_of_any_name(spark):
+    d = docs(spark, 30).selectExpr("*", "1 as n", "2 as own", "3 as row", "4 as copy", "5 as __copies", "6 as `a.b`", "7 as n_copies")
+    out = mx.mix(d)
+    assert out.columns == d.columns and out.distinct().count() == 30
+    counted = d.select("doc_id", "source", F.lit(3).cast("long").alias("t"))
+    assert mx.mix(d, counted, tokens="t").select("doc_id").distinct().count() == 30
+
+
 def test_hard_rows(spark):
     d = spark.createDataFrame([(1, None, "a"), (1, "x y", "a"), (None, "z", None), (2, "", "b")], "doc_id long, text string, source string").selectExpr("*", "1 as n_copies", "2 as block")
     got = mx.copies(d).collect()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 #: White-space separated words stand for tokens unless a column is named.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -104,13 +104,19 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     Running counts over blocks use one row per block; those over documents stay
     within the block at the border.
 
+    ``block``, ``block_order`` and ``doc_order`` are the permutation: the last
+    one's documents in the order of (block_order, block, doc_order, key); further
+    epochs repeat it.
+
     A null source is the source ``""``; documents without tokens get the whole
-    permutations alone, and one at least where no source has any tokens; rows
-    with the same id keep the order of their token counts.  An empty table gives an
-    empty result.  The driver holds one number per source.
+    permutations alone, and one at least where no source has any tokens; a null
+    id is an id like any; rows with the same id keep the order of their token
+    counts.  An empty table gives an empty result.  The driver holds one number
+    per source.
     """
     rows = with_tokens(docs.select(key, "source", tokens or "text"), tokens)
-    rows = rows.select(F.col(key).alias("key"), "source", "__src", "__tok")
+    # texts are read and counted once
+    rows = materialise(rows.select(F.col(key).alias("key"), "source", "__src", "__tok"), "mixing")
     sizes = {r["__src"]: r["n"] for r in rows.groupBy("__src").agg(F.sum("__tok").alias("n")).toLocalIterator()}
     mix = solve(sizes, target_entropy, max_repetition, budget)
     spark = docs.sparkSession
@@ -122,38 +128,41 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repetition:
     # sent to all tasks only while the sources are few; otherwise a shuffled join
     small = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_SOURCES else (lambda df: df)
     dealt = rows.join(small(plan_df), "__src").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
-    per_block = dealt.groupBy("__src", "block").agg(F.sum("__tok").alias("t"), F.first("rest").alias("rest"))
-    by_source = Window.partitionBy("__src").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, 0)
-    marks = per_block.withColumn("upto", F.sum("t").over(by_source)).select(
+    dealt = dealt.withColumns({"block_order": F.xxhash64("block", F.lit(seed + 1)), "doc_order": F.xxhash64("key", F.lit(seed + 2))})
+    per_block = dealt.groupBy("__src", "block", "block_order").agg(F.sum("__tok").alias("t"), F.first("rest").alias("rest"))
+    # running counts of a source's blocks: over RANGES ranges of the order, then in each
+    per_block = per_block.withColumn("range", F.shiftright("block_order", 54))
+    ahead = Window.partitionBy("__src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per_block.groupBy("__src", "range").agg(F.sum("t").alias("t")).select("__src", "range", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("before"))
+    in_range = Window.partitionBy("__src", "range").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, 0)
+    marks = per_block.join(ranges, ["__src", "range"]).withColumn("upto", F.col("before") + F.sum("t").over(in_range)).select(
         "__src", "block", (F.col("upto") <= F.col("rest")).alias("inside"), (F.col("rest") - F.col("upto") + F.col("t")).alias("left")
     )
     border = marks.filter(~F.col("inside") & (F.col("left") > 0)).select("__src", "block", "left")
-    in_block = Window.partitionBy("__src", "block").orderBy(F.xxhash64("key", F.lit(seed + 2)), "key", "__tok").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy("__src", "block").orderBy("doc_order", "key", "__tok").rowsBetween(Window.unboundedPreceding, 0)
     chosen = (
         dealt.join(small(border), ["__src", "block"])  # one block per source at most
         .withColumn("run", F.sum("__tok").over(in_block))
         .filter("run <= left and __tok > 0")
-        .groupBy("key", "__src", "__tok")
+        .groupBy(F.col("key").alias("ckey"), F.col("__src").alias("csrc"), F.col("__tok").alias("ctok"))
         .agg(F.count("*").alias("more"))
     )
     inside = marks.filter("inside").select("__src", "block", F.lit(True).alias("inside"))
     out = (
         dealt.join(inside, ["__src", "block"], "left")
-        .join(chosen, ["key", "__src", "__tok"], "left")
+        .join(chosen, F.col("key").eqNullSafe(F.col("ckey")) & (F.col("__src") == F.col("csrc")) & (F.col("__tok") == F.col("ctok")), "left")
     )
     extra = F.when(F.col("inside") & (F.col("__tok") > 0), 1).when(F.col("more") > 0, 1).otherwise(0)
-    return out.select(F.col("key").alias(key), "source", F.col("__tok").alias("n_tokens"), (F.col("whole") + extra).cast("long").alias("n_copies"))
+    return out.select(F.col("key").alias(key), "source", F.col("__tok").alias("n_tokens"), (F.col("whole") + extra).cast("long").alias("n_copies"), "block", "block_order", "doc_order")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, counted: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` with each document as often as :func:`copies` says; all columns
-    stay.  Ids are taken to be unique; rows that share one are copied alike."""
+    stay, whatever their names.  Ids are taken to be unique; rows that share one
+    are copied alike.  ``counted`` (key, source and a column of tokens that
+    ``tokens`` names) saves counting the words of ``docs``."""
     key = options.get("key", "doc_id")
-    n = copies(docs, **options).groupBy(key).agg(F.max("n_copies").alias("__copies"))
-    return (
-        docs.join(n, docs[key].eqNullSafe(n[key]))
-        .drop(n[key])
-        .filter("__copies > 0")
-        .withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .drop("__copies", "__k")
-    )
+    n = copies(docs if counted is None else counted, **options).groupBy(F.col(key).alias("key")).agg(F.max("n_copies").cast("int").alias("n"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own"))
+    out = own.join(n, F.col("own").eqNullSafe(F.col("key"))).filter("n > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

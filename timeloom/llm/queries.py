@@ -34,7 +34,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.copies(table(spark, sf_dir, "documents"), max_repetition=2.0)
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(), shared_path(spark, "token-cache"), others=("source",))
+    return mixing.copies(counted, max_repetition=2.0, tokens="n_tokens")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

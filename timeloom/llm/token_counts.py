@@ -92,8 +92,9 @@ def read_cache(spark, cache_path: str, version: str) -> DataFrame:
     )
 
 
-def token_counts(docs: DataFrame, model_path: str, cache_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` -> one row per input row: ``key``, ``n_bytes``, ``n_tokens``.
+def token_counts(docs: DataFrame, model_path: str, cache_path: str, text: str = "text", key: str = "doc_id", others: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` -> one row per input row: ``key``, ``n_bytes``, ``n_tokens`` and
+    the columns ``others``.
 
     * Normalised content: a null text is the empty text; nothing else is
       changed, since white space, case and Unicode form change a count.
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, text: str =
     """
     spark = docs.sparkSession
     version = tokenizer_version(model_path)
-    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn(
+    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"), F.struct(F.lit(0), *others).alias("others")).withColumn(
         "content", F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     )
     cached = read_cache(spark, cache_path, version)
@@ -123,7 +124,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, text: str =
     )
     counted.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
     return (
-        rows.select("key", "content", F.octet_length("text").cast("long").alias("n_bytes"))
+        rows.select("key", "content", "others", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(read_cache(spark, cache_path, version), "content", "left")
-        .select(F.col("key").alias(key), "n_bytes", "n_tokens")
+        .select(F.col("key").alias(key), "n_bytes", "n_tokens", *(F.col(f"others.{c}") for c in others))
     )

@@ -22,7 +22,10 @@ BLOCKS = frozenset(
 #: Elements whose content is not text of the page.
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video noframes title xmp".split())
 #: Elements that hold page furniture.
-FURNITURE = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
+FURNITURE = frozenset("nav header footer aside menu dialog button select head".split())
+#: Elements that are furniture unless they hold most of the page's text: whole
+#: pages are wrapped into forms.
+FORMS = frozenset("form fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role attributes that name page furniture.
 HINT = re.compile(
@@ -36,6 +39,9 @@ HINT = re.compile(
 HEADLINE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-]|\d)", re.I)
 #: Words of class and id attributes of article elements that aren't the article.
 OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|related|recommended|teaser)(?:$|[\s_-]|\d)", re.I)
+#: Lines of a window, and the characters in it that begin a passage.
+WINDOW, SURGE = 3, 90
+OUTSIDE = 6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -57,19 +63,22 @@ def _is_furniture(name: str, attributes: str, article: bool) -> bool:
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id", "role") and value and words.search(HEADLINE.sub("", value) if article else value):
-            return True
+        if key in ("class", "id", "role") and value:
+            found = words.search(HEADLINE.sub("", value) if article else value)
+            # a section of an article may be named for what it is about: related-work
+            if found and not (article and key == "id" and found[0].strip("-_ ") != value):
+                return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+def lines_of(html: str) -> list[tuple[str, int, bool, bool, bool]]:
     """Strip the markup: (text, characters inside links, furniture, inside an
-    article element) for each block of the page, in page order, empty ones left
-    out."""
-    out: list[tuple[str, int, bool, bool]] = []
+    article element, inside a form) for each block of the page, in page order,
+    empty ones left out."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    linked, in_link, furniture, article = 0, 0, 0, 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, form
+    linked, in_link, furniture, article, form = 0, 0, 0, 0, 0
     at, n = 0, len(html)
 
     def text_to(end: int) -> None:
@@ -86,14 +95,15 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             s = SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if s:
-                out.append((s, min(linked, len(s)), furniture > 0, article > 0))
+                out.append((s, min(linked, len(s)), furniture > 0, article > 0, form > 0))
         linked = 0
 
     def pop() -> None:
-        nonlocal furniture, article
-        _, f, a = stack.pop()
+        nonlocal furniture, article, form
+        _, f, a, o = stack.pop()
         furniture -= f
         article -= a
+        form -= o
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -141,57 +151,66 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             in_link = 1
         if name in BLOCKS:
             flush()
-        f, a = _is_furniture(name, m[3], article > 0), name in ("article", "main")
+        f, a, o = _is_furniture(name, m[3], article > 0), name in ("article", "main"), name in FORMS
         if name in _SCOPES or f or a:
-            stack.append((name, f, a))
+            stack.append((name, f, a, o))
             furniture += f
             article += a
+            form += o
     if at < n:
         text_to(n)
     flush()
     return out
 
 
-def main_text(html: str, window: int = 3, surge: int = 90, link_share: float = 0.5) -> str:
+def passages(sizes: np.ndarray, level: int, window: int = WINDOW) -> np.ndarray:
+    """Which lines lie between a surge and the dive after it.  ``sizes`` are the
+    lines' text lengths; where the sum over a window of lines reaches ``level`` a
+    passage begins, at the first filled line of that window, and it goes on to the
+    first line from which a whole window is empty."""
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes), np.full(window, sizes.sum())])
+    sums = total[window : window + n] - total[:n]
+    keep = np.zeros(n, bool)
+    inside = False
+    for k in range(n):
+        inside = sums[k] > 0 and (inside or sums[k] >= level)
+        keep[k] = inside and sizes[k] > 0
+    return keep
+
+
+def main_text(html: str, surge: int = SURGE, link_share: float = 0.5) -> str:
     """The article of one page.
 
-    The blocks of the stripped page are its lines; a line of page furniture, of
-    links mostly, or outside the article element of a page that has one, counts
-    as empty.  Sums of text lengths over windows of ``window`` lines give the
-    distribution: where a sum reaches the surge level a passage begins, at the
-    first filled line of that window, and it goes on to the dive point, the
-    first line from which a whole window is empty.  The level is ``surge``
-    characters, or a third of the largest sum where no window reaches it three
-    times over, and any text at all inside an article element, whose borders
-    are the surge and dive themselves.
+    The blocks of the stripped page are its lines.  Markup weighs them: a line of
+    page furniture has no text; one of links mostly has none outside an article
+    element.  The lines inside article elements and those outside have each a
+    distribution of text of their own, and :func:`passages` finds where it surges
+    and dives.  Inside any text is a surge, since the element's border is one; on
+    a page without such text a window needs ``surge`` characters, or a third of
+    the largest sum where that is less; and outside the articles of a page that
+    has some, ``OUTSIDE`` times ``surge``, so that a passage beside mere teasers
+    is found and a notice isn't.
     """
     lines = lines_of(html)
     if not lines:
         return ""
-    within = any(a and not f for _, _, f, a in lines)
-    sizes = np.array(
-        [
-            0 if f or (within and not a) or (not within and links > link_share * len(s)) else len(s)
-            for s, links, f, a in lines
-        ],
-        dtype=np.int64,
-    )
-    total = np.concatenate([[0], np.cumsum(sizes), np.full(window, sizes.sum())])
-    sums = total[window : window + len(sizes)] - total[: len(sizes)]
-    if not sums.max():
-        return ""
-    level = 1 if within else min(surge, int(sums.max()) // 3 or 1)
-    keep: list[str] = []
-    k = 0
-    while k < len(sizes):
-        if sums[k] < level:
-            k += 1
-            continue
-        while k < len(sizes) and sums[k]:
-            if sizes[k]:
-                keep.append(lines[k][0])
-            k += 1
-    return "\n".join(keep)
+    text = np.array([len(s) for s, *_ in lines], np.int64)
+    links, furniture, article, form = (np.array([x[k] for x in lines]) for k in (1, 2, 3, 4))
+    free = ~furniture
+    if 2 * text[free & form].sum() < text[free].sum():
+        free &= ~form
+    body = np.where(free & article, text, 0)
+    rest = np.where(free & ~article & (links <= link_share * text), text, 0)
+    if body.any():
+        keep = passages(body, 1) | passages(rest, OUTSIDE * surge)
+    else:
+        keep = passages(rest, max(1, min(surge, _largest(rest) // 3)))
+    return "\n".join(lines[k][0] for k in np.flatnonzero(keep))
+
+
+def _largest(sizes: np.ndarray) -> int:
+    return int(np.convolve(sizes, np.ones(WINDOW, np.int64)).max())
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,8 @@ from .common import materialise
 DATA_BLOCK = 8192
 QUERY_BLOCK = 4096
 LEAF = 128
+#: Query groups are smaller, for their worst k-th scores to be close to each one's.
+QUERY_LEAF = 8
 #: A node whose net has more centres keeps what these don't cover as one leaf;
 #: its radius is measured, so bounds and results stay exact.
 FAN_OUT = 48
@@ -69,10 +71,38 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
     return make(rows, x[0], far, int(np.ceil(np.log2(top))) + 1 if top > 0 else 0)
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Work:
+    """Products that a search computed, of how many."""
+
+    computed: int = 0
+    every: int = 0
+
+
+def exact_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`dual_search`, in whole numbers of any size: for components whose
+    sums of products aren't exact in doubles."""
+    rows, ids, scores = [], [], []
+    whole = np.array([[int(c) for c in v] for v in x], object).reshape(x.shape)
+    for i, v in enumerate(q):
+        s = whole @ np.array([int(c) for c in v], object)
+        best = heapq.nsmallest(k, ((-int(s[j]), int(x_ids[j])) for j in range(len(x)) if x_ids[j] != q_ids[i]))
+        if any(abs(b) >= 1 << 63 for b, _ in best):
+            raise OverflowError("a score doesn't fit into 64 bits")
+        rows += [i] * len(best)
+        ids += [b for _, b in best]
+        scores += [-b for b, _ in best]
+    return np.array(rows, np.int64), np.array(ids, np.int64), np.array(scores, np.int64)
+
+
+def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, work: Work | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, vector ids, scores): the ``k`` best vectors of another id for
     each query, equal scores by the smaller id."""
-    qt, xt = cover_tree(q), cover_tree(x)
+    if len(q) and len(x) and float(np.abs(q).max()) * float(np.abs(x).max()) * x.shape[1] >= 2.0**53:
+        return exact_search(q, q_ids, x, x_ids, k)
+    work = work or Work()
+    work.every += len(q) * len(x)
+    qt, xt = cover_tree(q, QUERY_LEAF), cover_tree(x)
     top = np.full((len(q), k), -np.inf)
     top_id = np.full((len(q), k), np.iinfo(np.int64).max)
     worst = top[:, -1]
@@ -83,6 +113,7 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
 
     def compare(a: Node, b: Node) -> None:
         s = q[a.rows] @ x[b.rows].T
+        work.computed += s.size
         i, j = np.nonzero((s >= worst[a.rows][:, None]) & (q_ids[a.rows][:, None] != x_ids[b.rows][None, :]))
         if not len(i):
             return
@@ -148,7 +179,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
 
     Null vectors, and such with null or non-finite components, take no part;
     vectors of different lengths don't meet; an empty vector meets nothing;
-    repeated rows are one.  Scores are exact while components stay below 2**20.
+    repeated rows are one.  Scores are exact: where sums of products might not be
+    so in doubles, whole numbers are compared, and a score beyond 64 bits fails.
 
     Queries are dealt into blocks of about ``QUERY_BLOCK`` and data into blocks of
     about ``DATA_BLOCK`` rows by the hash of the id; each pair of blocks is a task

@@ -100,6 +100,39 @@ def test_top_k_equals_brute_force(spark, monkeypatch, data, query, leaf):
     assert got == brute_top(rows)
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, [float(v) for v in r.integers(-(2**27), 2**27, 4)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ct.top_k(df, F.col("vec_id") % 50 == 0, scale=8.0).select("query_id", "rank", "vec_id", "score").collect()))
+    whole = {k: [8 * int(c) for c in v] for k, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)[:5]
+        want += [(q, i + 1, k, -v) for i, (v, k) in enumerate(s)]
+    assert got == sorted(want)
+
+
+def test_rows_of_any_kind_keep_their_place(spark):
+    big, small = 1e200, 1e-200
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [big, 0.0]), (3, [0.0, small]), (4, [0.0, big]), (5, [-1.0, 0.5]), (1, [0.0, 1.0]), (6, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in rp.near_duplicates(df).collect())
+    # 1 has two vectors: one with 2, one with 3 and 4, and so all are one component
+    assert got == [(0, 0, 0, None)] + [(1, 3, 1, True)] * 3 + [(2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_recall_with_many_leaves(spark):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((3000, 64))
+    x[1500:] = x[:1500] + 0.25 * r.standard_normal((1500, 64)) * r.random((1500, 1))  # cosines on both sides of 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in rp.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.95).sum(1) - 1
+    assert sum(want) > 1000 and all(got[k] <= want[k] for k in range(3000)) and sum(got.values()) >= 0.97 * want.sum()
+
+
 def test_cover_tree_invariants():
     x = np.random.default_rng(1).standard_normal((3000, 3))
     seen = []
@@ -123,7 +156,9 @@ def test_dual_search_prunes():
     centres = r.standard_normal((30, 4)) * 100
     x = np.floor(np.repeat(centres, 100, 0) + r.standard_normal((3000, 4)))
     q = x[::50]
-    rows, ids, scores = ct.dual_search(q, np.arange(0, 3000, 50), x, np.arange(3000), 5)
+    work = ct.Work()
+    rows, ids, scores = ct.dual_search(q, np.arange(0, 3000, 50), x, np.arange(3000), 5, work)
+    assert work.every == 60 * 3000 and work.computed < 0.25 * work.every
     want = []
     for k, v in enumerate(q):
         s = sorted((-(v @ x[i]), i) for i in range(3000) if i != 50 * k)[:5]

@@ -107,8 +107,8 @@ ORACLE_SQL = {
                   UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
         c AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
         n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
-        SELECT c.a AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.low AS component_id, c.a = c.low AS kept
-        FROM c LEFT JOIN n ON n.a = c.a""",
+        SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.low AS component_id, c.a = c.low AS kept
+        FROM embeddings v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = c.a""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM p),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, discard, materialise
 
 TREES = 6
 #: Trees are fitted on the vectors with the smallest hashes, so many at most.
@@ -43,6 +43,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _tame(x: np.ndarray) -> np.ndarray:
+    """Divided by the largest component, so that no square over- or underflows."""
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
 def grow(sample: np.ndarray, least: int, spill: float, rng: np.random.Generator) -> Tree:
     """A tree over unit vectors: of a few random directions and quantiles the one
     that puts the fewest vectors into the spill band; a node is a leaf when it is
@@ -106,7 +111,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in batch.column("embedding").to_pylist():
             ok = v and None not in v
             x = np.asarray(v, np.float64) if ok else None
-            ok = ok and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0
+            ok = ok and np.isfinite(x).all() and x.any()
             out.append((x + 0.0).tobytes() if ok else None)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
 
@@ -127,7 +132,7 @@ def _place(forest, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     for k in ks:
                         lists[k].append(lone + d)
                     continue
-                x = _unit(np.frombuffer(b"".join(raw[k] for k in ks), np.float64).reshape(len(ks), d))
+                x = _unit(_tame(np.frombuffer(b"".join(raw[k] for k in ks), np.float64).reshape(len(ks), d)))
                 for tree, base in zip(trees[d], first[d]):
                     for leaf, rows in leaves_of(tree, x, spill[d]):
                         for r in rows:
@@ -167,7 +172,7 @@ def _compare(cosine: float):
         leaf, p, q = int(rows.leaf.iloc[0]), int(rows.p.iloc[0]), int(rows.q.iloc[0])
         rows = rows.sort_values("id")
         x = np.frombuffer(b"".join(rows.v), np.float64).reshape(len(rows), -1)
-        x = _unit(x / np.abs(x).max(axis=1, keepdims=True))
+        x = _unit(_tame(x))
         ids, copies, block = rows.id.to_numpy(), rows.copies.to_numpy(), rows.block.to_numpy()
         width = max(map(len, rows.leaves))
         every = np.full((len(rows), width), -1, np.int32)
@@ -199,21 +204,24 @@ def _compare(cosine: float):
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES, seed: int = 23) -> DataFrame:
-    """vec_id, n_links, component_id, kept, one row per distinct vec_id.
+    """vec_id, n_links, component_id, kept, one row per row of ``vectors``.
 
     Two vectors are linked when a tree puts them into one leaf and their cosine,
     in double precision, is ``cosine`` or more.  Null or zero vectors and such
     with null or non-finite components link with nothing; vectors of different
     lengths don't link.  Equal vectors are one node from the start, whose copies
     count as links of each other, so a vector with very many copies costs no
-    more than one.  Repeated rows of one id are one vector; should an id come
-    with several vectors, it has the links of all.  A null id is left out.
+    more than one.  Repeated rows of one id are one vector and stay as rows;
+    should an id come with several vectors, it has the links of all and joins
+    their components.  A null id links with nothing; its component and kept are
+    null.
 
     Trees are fitted on at most ``SAMPLE`` vectors (smallest hashes); every vector
     is placed.  A leaf of any size is compared whole: more than ``BLOCK`` rows are
     dealt into blocks, and each pair of blocks is a task.
     """
     spark = vectors.sparkSession
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     clean = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         .filter("vec_id is not null")
@@ -221,7 +229,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES
         .distinct()
     )
     clean = materialise(clean, "vectors")
-    nodes = materialise(clean.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
+    nodes = clean.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    # a node is its smallest id, or a hash of the vector where an id has several
+    several = clean.filter("v is not null").groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
+    nodes = nodes.join(several.withColumnRenamed("vec_id", "id").withColumn("many", F.lit(True)), "id", "left")
+    nodes = materialise(nodes.select("v", F.when(F.col("many"), F.xxhash64("v")).otherwise(F.col("id")).alias("id"), "copies"), "nodes")
     # bounded by SAMPLE, whatever the size of the table
     picked = [r["v"] for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
     total = nodes.count()
@@ -230,7 +242,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES
     for r in picked:
         by.setdefault(len(r) // 8, []).append(r)
     for d in sorted(by):
-        x = _unit(np.frombuffer(b"".join(by[d]), np.float64).reshape(-1, d))
+        x = _unit(_tame(np.frombuffer(b"".join(by[d]), np.float64).reshape(-1, d)))
         spills[d] = spill_of(cosine, d)
         least = max(24, int(LEAF * len(picked) / max(1, total)))
         forests[d], first[d] = [], []
@@ -253,15 +265,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, trees: int = TREES
         .select("leaf", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "copies", "v", "leaves")
     )
     found = materialise(dealt.groupBy("leaf", "p", "q").applyInPandas(_compare(cosine), "id long, links long, to long"), "found")
-    comps = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    # an id with several vectors is a link between them
+    placed_ids = clean.join(several, "vec_id", "left_semi").join(nodes.select("v", "id"), "v").select("vec_id", "id")
+    hubs = placed_ids.join(placed_ids.groupBy("vec_id").agg(F.min("id").alias("low")), "vec_id").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    comps = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).union(hubs))
+    discard(placed)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_node = (
         nodes.join(links, "id", "left")
         .join(comps, F.col("id") == F.col("node"), "left")
         .select("v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     )
-    rows = clean.join(per_node, "v", "left").groupBy("vec_id").agg(
+    per_id = clean.join(per_node, "v", "left").groupBy("vec_id").agg(
         F.sum(F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.min("component").alias("component")
     )
-    component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", "n_links", component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    # a component is its smallest id, where a hash came before that
+    hashed = placed_ids.join(comps, F.col("id") == F.col("node"), "left").select(F.coalesce("component", "id").alias("component")).distinct()
+    low = per_id.join(hashed, "component", "left_semi").groupBy("component").agg(F.min("vec_id").alias("low"))
+    rows = ids.join(per_id.join(low, "component", "left"), "vec_id", "left")
+    component = F.coalesce("low", "component", "vec_id")
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))

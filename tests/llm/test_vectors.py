@@ -164,3 +164,17 @@ def test_dual_search_prunes():
         s = sorted((-(v @ x[i]), i) for i in range(3000) if i != 50 * k)[:5]
         want += [(k, i, -v) for v, i in s]
     assert sorted(zip(rows.tolist(), ids.tolist(), scores.tolist())) == sorted(want)
+
+
+def test_dual_search_ties_over_blocks(monkeypatch):
+    monkeypatch.setattr(ct, "TOGETHER", 7)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (400, 3)).astype(float)
+    x[100:250] = x[100]
+    ids = rng.permutation(400).astype(np.int64)
+    ids[:3] = ids[3]  # one id with several vectors
+    q, q_ids = x[::9], ids[::9]
+    rows, found, scores = ct.dual_search(q, q_ids, x, ids, 5)
+    for i, v in enumerate(q):
+        want = sorted((-float(v @ x[j]), int(ids[j])) for j in range(400) if ids[j] != q_ids[i])[:5]
+        assert [(-s, j) for s, j in zip(scores[rows == i], found[rows == i])] == want

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ QUERY_LEAF = 8
 #: A node whose net has more centres keeps what these don't cover as one leaf;
 #: its radius is measured, so bounds and results stay exact.
 FAN_OUT = 48
+#: Vectors of a leaf that are compared at once.
+TOGETHER = 512
 
 
 @dataclass
@@ -43,6 +46,12 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
     centres, the centres are further apart than that, and a node's own centre is
     the first of its children's."""
 
+    squares = np.einsum("ij,ij->i", x, x)
+
+    def distances(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+        # of whole numbers, so exact before the root
+        return np.sqrt(np.maximum(squares[rows] + c @ c - 2 * (x[rows] @ c), 0))
+
     def make(rows: np.ndarray, centre: np.ndarray, far: np.ndarray, level: int) -> Node:
         radius = float(far.max())
         node = Node(centre, float(np.sqrt(centre @ centre)), radius, rows, [])
@@ -54,7 +63,7 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
         left, c, d = rows, centre, far
         while len(left):
             if len(node.children) == FAN_OUT:
-                node.children.append(Node(centre, node.length, float(np.sqrt(((x[left] - centre) ** 2).sum(1)).max()), left, []))
+                node.children.append(Node(centre, node.length, float(distances(left, centre).max()), left, []))
                 break
             near = d <= scale
             if near.any():
@@ -62,11 +71,11 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
             left = left[~near]
             if len(left):
                 c = x[left[0]]
-                d = np.sqrt(((x[left] - c) ** 2).sum(1))
+                d = distances(left, c)
         return node
 
     rows = np.arange(len(x))
-    far = np.sqrt(((x - x[0]) ** 2).sum(1))
+    far = distances(rows, x[0])
     top = float(far.max())
     return make(rows, x[0], far, int(np.ceil(np.log2(top))) + 1 if top > 0 else 0)
 
@@ -98,7 +107,8 @@ def exact_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
 def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, work: Work | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, vector ids, scores): the ``k`` best vectors of another id for
     each query, equal scores by the smaller id."""
-    if len(q) and len(x) and float(np.abs(q).max()) * float(np.abs(x).max()) * x.shape[1] >= 2.0**53:
+    # squared distances are sums of up to four such products
+    if len(q) and len(x) and 4 * max(float(np.abs(q).max()), float(np.abs(x).max())) ** 2 * x.shape[1] >= 2.0**53:
         return exact_search(q, q_ids, x, x_ids, k)
     work = work or Work()
     work.every += len(q) * len(x)
@@ -112,20 +122,32 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
         return s + abs(s) * 1e-9 + 1e-6
 
     def compare(a: Node, b: Node) -> None:
-        s = q[a.rows] @ x[b.rows].T
+        for i in range(0, len(b.rows), TOGETHER):
+            some(a.rows, b.rows[i : i + TOGETHER])
+
+    def some(asked: np.ndarray, met: np.ndarray) -> None:
+        s = q[asked] @ x[met].T
         work.computed += s.size
-        i, j = np.nonzero((s >= worst[a.rows][:, None]) & (q_ids[a.rows][:, None] != x_ids[b.rows][None, :]))
+        s[q_ids[asked][:, None] == x_ids[met][None, :]] = -np.inf
+        least = worst[asked]
+        # a query that has fewer than k takes this many best of here, and their equals
+        new = np.flatnonzero(np.isinf(least))
+        if len(new) and s.shape[1] > k:
+            least[new] = np.partition(s[new], -k, 1)[:, -k]
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        again = (s[i, j] > worst[asked[i]]) | (x_ids[met[j]] < top_id[asked[i], -1])
+        i, j = i[again], j[again]
         if not len(i):
             return
         touched = np.unique(i)
         rows = np.concatenate([i, np.repeat(touched, k)])
-        scores = np.concatenate([s[i, j], top[a.rows[touched]].ravel()])
-        ids = np.concatenate([x_ids[b.rows[j]], top_id[a.rows[touched]].ravel()])
+        scores = np.concatenate([s[i, j], top[asked[touched]].ravel()])
+        ids = np.concatenate([x_ids[met[j]], top_id[asked[touched]].ravel()])
         order = np.lexsort((ids, -scores, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
         take = starts[:, None] + np.arange(k)
-        at = a.rows[rows[starts]]
+        at = asked[rows[starts]]
         top[at], top_id[at] = scores[take], ids[take]
 
     heap: list = [(-bound(qt, xt), 0, qt, xt)]
@@ -149,13 +171,14 @@ def _scaled(scale: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     """vec_id and floor(scale * component) as bytes of doubles; null where the
     vector takes no part."""
     for batch in batches:
-        out = []
-        for v in batch.column("embedding").to_pylist():
-            x = None
-            if v is not None and None not in v:
-                x = np.floor(scale * np.asarray(v, np.float64)) + 0.0
-                x = x if np.isfinite(x).all() else None
-            out.append(None if x is None else x.tobytes())
+        lists = batch.column("embedding")
+        # nulls in the flat values become NaN
+        v = np.floor(scale * pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)) + 0.0
+        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)]).astype(np.int64))
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(v))])[ends]
+        takes = (np.diff(bad) == 0) & pc.is_valid(lists).to_numpy(zero_copy_only=False)
+        raw, ends = v.tobytes(), (8 * ends).tolist()
+        out = [raw[a:b] if t else None for t, a, b in zip(takes.tolist(), ends, ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 

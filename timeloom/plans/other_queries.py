@@ -151,23 +151,6 @@ def a5s(spark, d):
     return te.histogram(scored(spark, d), "similarity", 100, 101)
 
 
-@query("g12_hybrid_decision", "SELECT target, frame_id, CASE WHEN d > 24 THEN 'hash rejected' WHEN similarity < 9350 THEN 'pixels rejected' ELSE 'accepted' END AS decision FROM (SELECT s.*, bit_count(xor(a.average_hash, b.average_hash)) AS d FROM scored s JOIN hashed a ON a.frame_id = s.target JOIN hashed b ON b.frame_id = s.frame_id)", SCORED)
-def g12(spark, d):
-    # the gate goes first as a filter of its own, so pixels of rejected pairs are never joined
-    far = g8(spark, d)
-    gone = far.filter("distance > 24").select("target", "frame_id", F.lit("hash rejected").alias("decision"))
-    left = far.filter("distance <= 24").select("target", "frame_id")
-    g = br.grid(spark, d)
-    seen = left.join(g, "frame_id").join(g.toDF("target", "w"), "target")
-    return gone.union(seen.select("target", "frame_id", F.when(px.mean_absolute(F.col("v"), F.col("w"), 64) >= 9350, "accepted").otherwise("pixels rejected")))
-
-
-@query("g9_exact_equality", "SELECT a.frame_id AS a, b.frame_id AS b FROM grid a JOIN grid b ON a.frame_id < b.frame_id AND list_transform(a.v, lambda x: x // 64) = list_transform(b.v, lambda x: x // 64)", GRID)
-def g9(spark, d):
-    g = br.grid(spark, d).select("frame_id", F.transform("v", lambda x: F.shiftright(x, 6)).alias("v"))
-    return g.toDF("a", "v").join(g.toDF("b", "v"), "v").filter("a < b").select("a", "b")
-
-
 @query("j15_similar_frames")
 def j15(spark, d):
     """Resampled descriptors, banded candidates, confirmation over moves and crops, top k."""

@@ -190,11 +190,6 @@ def p1(spark, d):
     return tl.row_faults(broken(spark, d))
 
 
-@query("p2_impossible_rows", f"SELECT fault, count(*) AS n FROM ({FAULTS} FROM broken) WHERE fault IS NOT NULL GROUP BY 1", f"{FA}, {BROKEN}")
-def p2(spark, d):
-    return tl.row_faults(broken(spark, d)).groupBy("fault").agg(F.count("*").alias("n"))
-
-
 @query("a13_status", "SELECT source_key, count(*) AS indexed_frames, max(frame_id) AS last_frame, arg_max(ticks, frame_id) FILTER (ticks IS NOT NULL) AS last_ticks FROM frames GROUP BY 1")
 def a13(spark, d):
     return tl.status(br.frames(spark, d))
@@ -344,12 +339,6 @@ def st2(spark, d):
     return groups(spark, d)
 
 
-@query("st3_hybrid_groups", "SELECT * FROM groups", f"{FRAMES.replace('frames AS (', 'fr0 AS (')}, frames AS (SELECT * FROM fr0), " + FOLD.replace(">= 9700 AND", ">= 9700 AND bit_count(xor((g.rep * 2654435761)::BIGINT, (f.luma * 2654435761)::BIGINT)) <= 14 AND bit_count(xor((g.prev * 2654435761)::BIGINT, (f.luma * 2654435761)::BIGINT)) <= 14 AND"), True)
-def st3(spark, d):
-    f = br.frames(spark, d).withColumn("hash", F.col("luma") * 2654435761)
-    return gr.hybrid_groups(f.withColumn("value", F.col("luma")), 14, 9700)
-
-
 BENT = """bent AS (SELECT source_key, ordinal, first + CASE WHEN ordinal = 2 AND source_key % 3 = 0 THEN 1 WHEN ordinal = 0 AND source_key % 7 = 1 THEN 1 ELSE 0 END AS first, last, frames FROM runs)"""
 
 

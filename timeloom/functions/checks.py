@@ -44,3 +44,13 @@ def progress(lifecycle: Column, completed: Column, total: Column, generation: Co
 
 def decoder_class(sdk: Column, hardware: Column, software: Column) -> Column:
     return F.when(sdk < 29, "Unknown").when(software, "Software").when(hardware, "Hardware").otherwise("Unknown")
+
+
+def selection_fault(kind: Column, start: Column, end: Column, every: Column) -> Column:
+    """Why a manifest can't hold a selection, or null: ranges of frames or times
+    run forward, and whatever is sampled is sampled every n with n > 0."""
+    ranged = kind.isin("frames", "times")
+    return (
+        F.when(ranged & (start > end), F.concat(kind, F.lit(" are reversed")))
+        .when((ranged | (kind == "all")) & ~F.coalesce(every > 0, F.lit(False)), "interval isn't positive")
+    )

@@ -16,7 +16,6 @@ from ..operators import library as li
 from ..operators import pictures as pi
 from ..operators import selection as sel
 from ..operators import similarity as si
-from ..operators import timeline as tl
 from ..sources import decoded, store
 from . import bridge as br
 from .bridge import FRAMES, GRID
@@ -154,18 +153,6 @@ def s2(spark, d):
     return df.select("source_key", "frame_id", "ticks", "keyframe")
 
 
-@query("s5_seek", "SELECT source_key, frame_id, ticks FROM frames WHERE frame_id >= 12", FRAMES)
-def s5(spark, d):
-    return tl.visit(br.frames(spark, d), 12, 2**62).select("source_key", "frame_id", "ticks")
-
-
-@query("s12_indexed_stream", "SELECT source_key, count(*) AS frames, sum(CASE WHEN ticks IS NULL THEN 1 ELSE 0 END)::BIGINT AS untimed FROM frames GROUP BY 1", FRAMES)
-def s12(spark, d):
-    f = br.frames(spark, d)
-    good = f.join(tl.reconcile(f, f).select("source_key", "frame_id"), ["source_key", "frame_id"], "left_anti")
-    return good.groupBy("source_key").agg(F.count("*").alias("frames"), F.count_if(F.col("ticks").isNull()).alias("untimed"))
-
-
 @query("k1_append_batches", "SELECT source_key, frame_id, ticks, keyframe, frame_id // 256 AS batch FROM frames", FRAMES)
 def k1(spark, d):
     s = store.FrameStores(spark, shared(spark))
@@ -261,13 +248,6 @@ def k15(spark, d):
     return br.read(spark, d, "orders").select(k.alias("id"), checks.progress(F.when(k % 2 == 0, "complete").otherwise("building"), k % 7, k % 11, k % 5).alias("allowed"))
 
 
-@query("k18_cache_open", "SELECT key, count(*) AS entries FROM (SELECT l_suppkey AS key, l_partkey FROM lineitem WHERE l_suppkey % 4 <> 0) GROUP BY 1")
-def k18(spark, d):
-    x = br.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"))
-    gone = x.distinct().filter("key % 4 = 0")
-    return x.join(gone, "key", "left_anti").groupBy("key").agg(F.count("*").alias("entries"))
-
-
 @query("k5_group_rows", "SELECT source_key, ordinal // 128 AS batch, count(*) AS rows FROM runs GROUP BY 1, 2", f"{FRAMES}, {RUNS}")
 def k5(spark, d):
     return gr.exact_runs(br.frames(spark, d), "value").groupBy("source_key", F.expr("ordinal div 128").alias("batch")).agg(F.count("*").alias("rows"))
@@ -281,12 +261,6 @@ def p3(spark, d):
     return f.groupBy("source_key").agg(F.count("ticks").alias("timed"))
 
 
-@query("p9_selection_validation", "SELECT o_orderkey AS id, s <= e AND n > 0 AS valid FROM (SELECT o_orderkey, o_orderkey % 10 AS s, o_orderkey % 13 AS e, o_orderkey % 3 AS n FROM orders)")
-def p9(spark, d):
-    k = F.col("o_orderkey")
-    return br.read(spark, d, "orders").select(k.alias("id"), ((k % 10 <= k % 13) & (k % 3 > 0)).alias("valid"))
-
-
 @query("p10_artifact_rows", "SELECT l_orderkey, l_linenumber, (l_linenumber % 3 > 0 OR l_orderkey % 2 = 0) AND l_quantity > 5 AND l_partkey % 4 > 0 AND l_linenumber % 5 <> 2 AS valid FROM lineitem")
 def p10(spark, d):
     n, o = F.col("l_linenumber"), F.col("l_orderkey")
@@ -295,14 +269,6 @@ def p10(spark, d):
     return br.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ok.alias("valid"))
 
 
-@query("p12_decoder_choice", "SELECT mime, arg_min(name, name) AS decoder FROM (SELECT p_partkey AS name, p_partkey % 6 AS mime, p_partkey % 5 = 0 AS soft, p_partkey % 3 = 0 AS alias, p_size > 10 AS buf FROM part) WHERE NOT soft AND NOT alias AND buf GROUP BY 1")
-def p12(spark, d):
-    k = F.col("p_partkey")
-    kind = checks.decoder_class(F.lit(30), F.lit(True), k % 5 == 0)
-    p = br.read(spark, d, "part").filter((kind == "Hardware") & (k % 3 != 0) & (F.col("p_size") > 10))
-    return p.groupBy((k % 6).alias("mime")).agg(F.min("p_partkey").alias("decoder"))
-
-
 @query("p13_policies", "SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, false), (4, true)) t(id, valid)")
 def p13(spark, d):
     tries = ({}, {"max_distance": 65}, {"least": 10001}, {"cap": 0}, {"max_distance": 64, "least": 0})

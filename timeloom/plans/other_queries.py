@@ -347,12 +347,6 @@ def s9(spark, d):
     return li.catalog_entries(listing(spark, d), 2).select("source_key", "stream_index", "path", "status")
 
 
-@query("s3_stream_selection", "SELECT source_key, stream_index, path FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY complete DESC, stream_index, path) AS n FROM listing WHERE version < 3) WHERE n = 1", LISTING)
-def s3(spark, d):
-    w = Window.partitionBy("source_key").orderBy(F.desc("complete"), "stream_index", "path")
-    return listing(spark, d).filter("version < 3").withColumn("n", F.row_number().over(w)).filter("n = 1").select("source_key", "stream_index", "path")
-
-
 @query("a7_storage", "SELECT category, sum(bytes)::BIGINT AS bytes, count(*) AS files, count(DISTINCT source_key) AS sources FROM (SELECT l_linestatus AS category, (l_quantity * 1000)::BIGINT AS bytes, l_suppkey AS source_key FROM lineitem) GROUP BY ROLLUP (category)")
 def a7(spark, d):
     f = br.read(spark, d, "lineitem").select(F.col("l_linestatus").alias("category"), (F.col("l_quantity") * 1000).cast("long").alias("bytes"), F.col("l_suppkey").alias("source_key"))
@@ -365,13 +359,6 @@ def k13(spark, d):
     return x.groupBy(F.col("l_partkey").alias("storage_key")).agg(F.max_by(F.col("l_quantity").cast("double"), F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("value"))
 
 
-@query("k16_invalidate", "SELECT source_key, count(*) AS kept FROM listing WHERE source_key::BIGINT % 7 <> 0 GROUP BY 1", LISTING)
-def k16(spark, d):
-    x = listing(spark, d)
-    gone = x.select("source_key").distinct().filter(F.col("source_key").cast("long") % 7 == 0)
-    return x.join(gone, "source_key", "left_anti").groupBy("source_key").agg(F.count("*").alias("kept"))
-
-
 @query("p6_safe_paths", """SELECT p_partkey AS id, k AS key, regexp_matches(k, '^[A-Za-z0-9_-]{1,256}$') AS safe_key, length(k) > 0 AND NOT starts_with(k, '/') AND NOT contains(k, chr(92)) AND NOT regexp_matches(k, '(^|/)\\.{0,2}(/|$)') AS safe_path
     FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a/../b' WHEN 1 THEN 'ok_' || p_partkey WHEN 2 THEN '/x' WHEN 3 THEN 'v/' || p_partkey || '.png' ELSE '' END AS k FROM part)""")
 def p6(spark, d):

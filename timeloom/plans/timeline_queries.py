@@ -216,12 +216,6 @@ def t2(spark, d):
     return tl.visit(br.frames(spark, d), 4, 9).select("source_key", "frame_id", "ticks")
 
 
-@query("a11_navigation", "SELECT source_key, sum(CASE WHEN frame_id > coalesce(anchor_frame, 0) THEN 1 ELSE 0 END)::BIGINT AS seeks, sum(frame_id - coalesce(anchor_frame, 0))::BIGINT AS seek_frames, max(frame_id - coalesce(anchor_frame, 0)) AS furthest FROM anch GROUP BY 1", FA)
-def a11(spark, d):
-    a = tl.anchors(br.frames(spark, d)).withColumn("far", F.col("frame_id") - F.coalesce("anchor_frame", F.lit(0)))
-    return a.groupBy("source_key").agg(F.count_if(F.col("far") > 0).alias("seeks"), F.sum("far").alias("seek_frames"), F.max("far").alias("furthest"))
-
-
 @query("st12_seek_navigation", "SELECT source_key, frame_id, CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END AS decode_from, frame_id - CASE WHEN seek_safe AND anchor_frame IS NOT NULL THEN anchor_frame ELSE 0 END + 1 AS decoded FROM anch JOIN safety USING (source_key)", f"{FA}, {SAFETY}")
 def st12(spark, d):
     f = br.frames(spark, d)

@@ -96,7 +96,7 @@ def test_pictures_in_blocks(spark):
         assert rows(si.similar_frames(d, t, least, cap)) == rows(si.top(likeness, least, cap))
 
 
-@pytest.mark.parametrize("name", ["a5_score_histogram", "a6_candidate_counts", "g10_luma_similarity", "j15_similar_frames"])
+@pytest.mark.parametrize("name", ["g10_luma_similarity", "t1_top_similar", "a6_candidate_counts", "a5_score_histogram", "j15_similar_frames"])
 def test_no_row_for_a_colour_key_of_a_pair(spark, name):
     """Pairs near in colour are scored in blocks, not joined and made distinct one by one."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

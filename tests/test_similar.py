@@ -39,6 +39,13 @@ def scored_in_blocks(grids, targets):
     return si.luma_near(grids, targets).union(si.luma_pairs(si.by_band(grids, targets), grids))
 
 
+def test_large_cells_are_cut_into_rows(grids):
+    got = si.blocks(grids, "luma", 0, 7).collect()
+    ids = [np.frombuffer(r.ids, np.int64) for r in got]
+    assert max(map(len, ids)) == 7 and sorted(np.concatenate(ids)) == list(range(900))
+    assert all(len(r.data) == 64 * len(x) and len(r.buckets) == 4 * len(x) for r, x in zip(got, ids))
+
+
 def test_pairs_in_blocks(grids, scored):
     got = rows(scored_in_blocks(grids, grids.filter("frame_id % 10 = 0")))
     assert got == sorted((f, s, t) for (t, f), s in scored.items())
